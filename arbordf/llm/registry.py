@@ -1,6 +1,12 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
+from .bpe_tree import op9_bpe_tree
+from .packing import op4_pack
 from .token_planes import op1_token_planes
 
-QUERIES = {"op1_token_planes": op1_token_planes}
+QUERIES = {
+    "op1_token_planes": op1_token_planes,
+    "op4_pack": op4_pack,
+    "op9_bpe_tree": op9_bpe_tree,
+}
 ORACLES: dict[str, str] = {}
