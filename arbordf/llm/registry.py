@@ -2,11 +2,17 @@
 
 from .bpe_tree import op9_bpe_tree
 from .packing import op4_pack
+from .quality_knn import op8_quality_knn
+from .quality_rules import op10_quality_rules
 from .token_planes import op1_token_planes
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op4_pack": op4_pack,
+    "op6_toxicity": op6_toxicity,
+    "op8_quality_knn": op8_quality_knn,
     "op9_bpe_tree": op9_bpe_tree,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}
