@@ -1,6 +1,7 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
 from .bpe_tree import op9_bpe_tree
+from .ngram_join import op2_ngram_join
 from .packing import op4_pack
 from .quality_knn import op8_quality_knn
 from .quality_rules import op10_quality_rules
@@ -9,6 +10,7 @@ from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_token_planes": op1_token_planes,
+    "op2_ngram_join": op2_ngram_join,
     "op4_pack": op4_pack,
     "op6_toxicity": op6_toxicity,
     "op8_quality_knn": op8_quality_knn,
