@@ -1,6 +1,7 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
 from .bpe_tree import op9_bpe_tree
+from .embedding_dedup import op7_embedding_dedup
 from .ngram_join import op2_ngram_join
 from .packing import op4_pack
 from .quality_knn import op8_quality_knn
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op4_pack": op4_pack,
     "op6_toxicity": op6_toxicity,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_quality_knn": op8_quality_knn,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_quality_rules": op10_quality_rules,
