@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 
 #: Unicode White_Space, as the tokenizers' patterns mean it (Python's own class also holds U+001C to U+001F).
 _RUN = re.compile("[\t-\r \x85\xa0  -     　]{2,}")
+_COMBINING = re.compile("[\u0300-\u036f]")
 #: Parts a worker's memo may hold; beyond it the memo starts anew. Bounds memory, never changes a result.
 MEMO_PARTS = 800_000
 #: Characters encoded at once (a longer text makes a block of its own). Bounds memory, never changes a result.
@@ -67,7 +68,9 @@ def split_byte_level(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     """Parts of all texts, and the place where each text's parts begin (one more entry at the end)."""
     lists = {i: byte_level_parts(t) for i, t in enumerate(texts) if _CUT in t or _RUN.search(t)}
     marked = ["" if i in lists else t.replace(" ", _CUT + " ").replace("\n", f"{_CUT}\n{_CUT}") for i, t in enumerate(texts)]
-    parts = pc.split_pattern(pa.array(marked, pa.large_string()), _CUT)
+    # no match holds a letter followed by a mark, so that is a safe cut too
+    marked = pc.replace_substring_regex(pa.array(marked, pa.large_string()), "([A-Za-z])([.,!])", rf"\1{_CUT}\2")
+    parts = pc.split_pattern(marked, _CUT)
     if not lists:
         return parts.values, parts.offsets.to_numpy()
     bounds = parts.offsets.to_numpy()
@@ -80,8 +83,15 @@ def split_byte_level(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
 
 
 def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
-    """Words between blanks and newlines (some empty) of all texts, and where each text's words begin."""
-    parts = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.large_string()), " ")
+    """Words between blanks and newlines (some empty) of all texts, and where each text's words begin.
+
+    For a vocabulary that composes characters, then puts them in lower case. ASCII letters may be put in lower case
+    first unless a combining mark follows somewhere: the composed form of a capital need not have a small twin.
+    """
+    plain = [t.replace("\n", " ") for t in texts]
+    plain = [t if _COMBINING.search(t) else t.encode().lower().decode() for t in plain]
+    marked = pc.replace_substring_regex(pa.array(plain, pa.large_string()), "([A-Za-z])([.,!])", r"\1 \2")
+    parts = pc.split_pattern(marked, " ")
     return parts.values, parts.offsets.to_numpy()
 
 
@@ -150,14 +160,26 @@ def _room(a: np.ndarray, n: int) -> np.ndarray:
     return a if n <= len(a) else np.concatenate([a, np.empty(max(n, 2 * len(a)) - len(a), dtype=a.dtype)])
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The byte-level vocabularies' character for each byte: printable Latin-1 stands for itself, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
 _LOADED: dict[str, PartEncoder] = {}
 
 
 def library_encoder(path: str) -> PartEncoder:
-    """Encoder for a ``tokenizers`` JSON file, one per Python worker. Special-token strings count as ordinary text."""
+    """Encoder for a ``tokenizers`` JSON file, one per Python worker. Special-token strings count as ordinary text.
+
+    A part of letters only, which normalising would not change, is one match of the pattern: the library's model
+    takes it at once. All other parts go through the library's whole chain.
+    """
     if path not in _LOADED:
         import json
         import os
+        from unicodedata import is_normalized
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -166,9 +188,20 @@ def library_encoder(path: str) -> PartEncoder:
         t.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             byte_level = json.load(f)["pre_tokenizer"]["type"] == "ByteLevel"
+        table, model = byte_alphabet(), t.model
+        table = {b: c for b, c in table.items() if chr(b) != c}
+
+        def one_match(p: str) -> bool:
+            if byte_level:
+                return p.isalpha() or (p[:1] == " " and p[1:].isalpha())
+            return p.isalpha() and p == p.lower() and (p.isascii() or is_normalized("NFC", p))
 
         def encode(parts: list[str]) -> list[bytes]:
-            return [pack(e.ids) for e in t.encode_batch_fast(parts, add_special_tokens=False)]
+            out: list = [pack([x.id for x in model.tokenize(p.encode().decode("latin-1").translate(table))]) if one_match(p) else None for p in parts]
+            left = [i for i, x in enumerate(out) if x is None]
+            for i, e in zip(left, t.encode_batch_fast([parts[i] for i in left], add_special_tokens=False)):
+                out[i] = pack(e.ids)
+            return out
 
         _LOADED[path] = PartEncoder(split_byte_level if byte_level else split_words, encode)
     return _LOADED[path]
