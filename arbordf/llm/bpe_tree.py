@@ -159,7 +159,7 @@ def _coded(docs: DataFrame, path: str, pattern: str, schema: str, out, kind) ->
     def code(it):
         coder = text_coder(path, pattern)
         for b in it:
-            doc_ids, texts = b.column(0), b.column(1).to_pylist()
+            doc_ids, texts = b.column(0), b.column(1)
             for first, ids, bounds in coder.parts.blocks(texts):
                 raw = ids.astype("<u4").tobytes()
                 text, ends = coder.decode_block(ids, bounds)

@@ -66,13 +66,21 @@ def _release_all() -> None:
                 pass
 
 
-def batches(texts: list, limit: int = 4 << 20):
-    """Split a list of strings into runs of at most ``limit`` characters (at least one text each)."""
+def text_runs(texts, limit: int):
+    """(index of the first text, list of texts) for runs of at most ``limit`` bytes, or one longer text.
+
+    ``texts`` is an Arrow string array or a list; of an array only one run at a time becomes Python strings, and null
+    counts as empty.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    array = texts if isinstance(texts, pa.Array) else None
+    sizes = pc.fill_null(pc.binary_length(array), 0).to_pylist() if array is not None else [len(t or "") for t in texts]
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size > limit and i > start:
-            yield texts[start:i]
-            start, size = i, len(t)
-    if start < len(texts):
-        yield texts[start:]
+    for i, n in enumerate([*sizes, limit + 1]):
+        if i > start and size + n > limit:
+            yield start, [t or "" for t in (array.slice(start, i - start).to_pylist() if array is not None else texts[start:i])]
+            start, size = i, 0
+            pa.default_memory_pool().release_unused()
+        size += n

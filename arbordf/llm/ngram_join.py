@@ -57,7 +57,7 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
 
 def _rows(it, at: int = 1):
     for b in it:
-        texts = [t or "" for t in b.column(at).to_pylist()]
+        texts = b.column(at)
         for first, some in blocks(texts):
             yield b.slice(first, len(some)), some
 

@@ -108,7 +108,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int = 1) ->
         encoder, task, ranks = library_encoder(tokenizer), TaskContext.get().partitionId(), [0] * (window + 1)
         end = np.uint32(end_id).astype("<u4").tobytes()
         for b in it:
-            doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            doc_ids, texts = b.column(0).to_pylist(), b.column(1)
             for first, ids, bounds in encoder.blocks(texts):
                 raw, rows = ids.astype("<u4").tobytes(), []
                 for i in range(len(bounds) - 1):

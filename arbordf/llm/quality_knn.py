@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_NEIGHBOURS, k: i
 
     def counts(it):
         for b in it:
-            texts = b.column(1).to_pylist()
+            texts = b.column(1)
             for first, some in _small(texts):
                 c = term_counts(some)
                 rows = [np.flatnonzero(r) for r in c]
@@ -133,7 +133,7 @@ def _scored(docs: DataFrame, space: Space, emit, schema):
     def run(it):
         space = sent.value
         for b in it:
-            texts = [t or "" for t in b.column(at).to_pylist()]
+            texts = b.column(at)
             for first, some in _small(texts):
                 yield emit(b.slice(first, len(some)), space.vote(space.vectors_of(term_counts(some))))
 

@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> Tre
 
     def features(it):
         for b in it:
-            texts = b.column(1).to_pylist()
+            texts = b.column(1)
             for first, some in blocks(texts):
                 _, x = statistics(some)
                 yield pa.RecordBatch.from_arrays(
@@ -208,7 +208,7 @@ def judge(docs: DataFrame, trees: Trees, keep_at: float = 0.5) -> DataFrame:
 
     def run(it):
         for b in it:
-            texts = b.column(1).to_pylist()
+            texts = b.column(1)
             for first, some in blocks(texts):
                 base, x = statistics(some)
                 failed, score = base_failed(base), trees.probability(x)
@@ -227,7 +227,7 @@ def keep_documents(docs: DataFrame, trees: Trees, keep_at: float = 0.5) -> DataF
 
     def run(it):
         for b in it:
-            texts = [t or "" for t in b.column(at).to_pylist()]
+            texts = b.column(at)
             for first, some in blocks(texts):
                 base, x = statistics(some)
                 yield b.slice(first, len(some)).filter(pa.array(~base_failed(base) & (trees.probability(x) >= keep_at)))

@@ -23,13 +23,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import text_runs
+
 #: Unicode White_Space, as the tokenizers' patterns mean it (Python's own class also holds U+001C to U+001F).
 _RUN = re.compile("[\t-\r \x85\xa0  -     　]{2,}")
 _COMBINING = re.compile("[\u0300-\u036f]")
 #: Parts a worker's memo may hold; beyond it the memo starts anew. Bounds memory, never changes a result.
-MEMO_PARTS = 800_000
-#: Characters encoded at once (a longer text makes a block of its own). Bounds memory, never changes a result.
-BLOCK_CHARS = 6 << 20
+MEMO_PARTS = 700_000
+#: Bytes encoded at once (a longer text makes a block of its own). Bounds memory, never changes a result.
+BLOCK_CHARS = 4 << 20
 _CUT = "\x1f"
 
 
@@ -144,16 +146,10 @@ class PartEncoder:
         ends = np.concatenate([[0], np.cumsum(sizes)])
         return gather(self.pool, self.starts[at], sizes), ends[bounds]
 
-    def blocks(self, texts: list[str], chars: int = BLOCK_CHARS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(index of the first text, ids, bounds) for runs of texts of at most ``chars`` characters or one text."""
-        start = size = 0
-        for i, t in enumerate(texts):
-            if size + len(t) > chars and i > start:
-                yield start, *self.encode_block(texts[start:i])
-                start, size = i, 0
-            size += len(t)
-        if start < len(texts):
-            yield start, *self.encode_block(texts[start:])
+    def blocks(self, texts, chars: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(index of the first text, ids, bounds) for runs of texts (an Arrow array or a list) of limited size."""
+        for start, some in text_runs(texts, chars or BLOCK_CHARS):
+            yield start, *self.encode_block(some)
 
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:

@@ -75,7 +75,7 @@ def chunks(docs: DataFrame) -> DataFrame:
 
     def cut(it):
         for b in it:
-            for first, some in blocks([t or "" for t in b.column(1).to_pylist()]):
+            for first, some in blocks(b.column(1)):
                 raw = [t.encode() for t in some]
                 text, start, end, words = chunk_bounds(raw)
                 digest = b"".join(xxhash.xxh3_128_digest(raw[t][a:z]) for t, a, z in zip(text.tolist(), start.tolist(), end.tolist()))

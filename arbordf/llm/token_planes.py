@@ -99,7 +99,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, chu
         encoder, out = library_encoder(tokenizer), _Chunker(TaskContext.get().partitionId(), chunk_ids, plane, level)
         end = np.array([end_id], dtype=np.uint32)
         for b in it:
-            doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            doc_ids, texts = b.column(0).to_pylist(), b.column(1)
             for start, ids, bounds in encoder.blocks(texts):
                 for i in range(len(bounds) - 1):
                     rows = list(out.add(doc_ids[start + i], np.concatenate([ids[bounds[i] : bounds[i + 1]], end])))

@@ -103,7 +103,7 @@ class Model:
 
 def _text_blocks(it):
     for b in it:
-        texts = [t or "" for t in b.column(1).to_pylist()]
+        texts = b.column(1)
         for first, some in blocks(texts):
             yield b.slice(first, len(some)), some
 

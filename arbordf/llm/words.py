@@ -11,10 +11,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import text_runs
+
 SPACES = " \t\n\x0b\x0c\r"
 _TO_BLANK = {ord(c): " " for c in SPACES}
-#: Characters handled at once (a longer text makes a block of its own). Bounds memory, never changes a result.
-BLOCK_CHARS = 6 << 20
+#: Bytes handled at once (a longer text makes a block of its own). Bounds memory, never changes a result.
+BLOCK_CHARS = 4 << 20
 
 
 def lower_ascii(texts: list[str]) -> list[str]:
@@ -89,13 +91,6 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def blocks(texts: list[str], chars: int = BLOCK_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """(index of the first text, texts) for runs of at most ``chars`` characters or one text."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size + len(t) > chars and i > start:
-            yield start, texts[start:i]
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, texts[start:]
+def blocks(texts, chars: int = BLOCK_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """(index of the first text, texts) for runs of texts (an Arrow array or a list) of limited size; null is empty."""
+    return text_runs(texts, chars)
