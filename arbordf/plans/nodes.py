@@ -110,7 +110,7 @@ class NodeDocuments:
         """Nodes a key finds in the same document: an equi-join of (doc_id, use value)."""
         match, use = self.keys[call.args[0].value]
         marked = self.navigate(self.roots().withColumn("oid", F.lit(0).cast("long")), parse(f"//{match}" if not match.startswith("/") else match)).select(NODE_COLUMNS)
-        indexed = self.strings(self.navigate(marked.withColumn("oid", F.col("node_id")), parse(use))).select("doc_id", F.col("oid").alias("k_id"), F.col("sv").alias("k_use"))
+        indexed = self.strings(self.navigate(marked.withColumn("oid", F.col("node_id")), parse(use)), parse(use)).select("doc_id", F.col("oid").alias("k_id"), F.col("sv").alias("k_use"))
         nodes = marked.join(indexed, (marked["node_id"] == F.col("k_id")) & (marked["doc_id"] == indexed["doc_id"])).select(*(marked[c] for c in NODE_COLUMNS), "k_use")
         arg = call.args[1]
         if is_node_set(arg):
@@ -120,8 +120,11 @@ class NodeDocuments:
             wanted = framed.select("oid", F.col("doc_id").alias("w_doc"), v.string.alias("w_use")).distinct()
         return nodes.join(wanted, (F.col("doc_id") == F.col("w_doc")) & (F.col("k_use") == F.col("w_use"))).select("oid", *NODE_COLUMNS).dropDuplicates(["oid", "doc_id", "node_id"])
 
-    def strings(self, frame: DataFrame) -> DataFrame:
-        """Add ``sv``, the string value: own value, or all text below in document order."""
+    def strings(self, frame: DataFrame, e=None) -> DataFrame:
+        """Add ``sv``, the string value: own value, or all text below in document order. ``e``, the expression that led
+        to the nodes, tells where own values suffice."""
+        if isinstance(e, Path) and e.steps and (e.steps[-1].axis == "attribute" or e.steps[-1].test.kind == "text"):
+            return frame.withColumn("sv", F.coalesce("value", F.lit("")))
         texts = self.nodes.filter("kind = 'text'").select(F.col("doc_id").alias("t_doc"), F.col("pre").alias("t_pre"), F.col("value").alias("t_value"))
         below = frame.filter("kind in ('element', 'document')").select("doc_id", "node_id", "pre", "last_desc").dropDuplicates(["doc_id", "node_id"])
         joined = below.join(texts, (F.col("doc_id") == F.col("t_doc")) & (F.col("t_pre") > F.col("pre")) & (F.col("t_pre") <= F.col("last_desc")))
@@ -147,10 +150,21 @@ class NodeDocuments:
         got = self.nested(frame, e)
         aggregate, strings = how
         if strings:
-            got = self.strings(got)
+            got = self.strings(got, e)
         return self.back(frame, got.groupBy("doc_id", "oid").agg(aggregate.alias(name)), name), F.col(name)
 
+    def attribute(self, frame: DataFrame, name: str) -> tuple[DataFrame, Column]:
+        """Value of one attribute of each node: one equi-join, as a node has at most one of a name."""
+        tmp = self.fresh()
+        other = self.nodes.filter((F.col("kind") == "attribute") & (F.col("name") == name))
+        other = other.select(F.col("doc_id").alias("b_doc"), F.col("parent_id").alias("b_oid"), F.col("value").alias(tmp))
+        frame = frame.join(other, (F.col("doc_id") == F.col("b_doc")) & (F.col("node_id") == F.col("b_oid")), "left")
+        return frame.drop("b_doc", "b_oid"), F.col(tmp)
+
     def compile(self, frame: DataFrame, e) -> tuple[DataFrame, Value]:
+        if (name := own_attribute(e)) is not None:
+            frame, c = self.attribute(frame, name)
+            return frame, string(c)
         if isinstance(e, Num):
             return frame, num(F.lit(e.value))
         if isinstance(e, Str):
@@ -171,6 +185,9 @@ class NodeDocuments:
 
     def truth(self, frame: DataFrame, e) -> tuple[DataFrame, Column]:
         """Boolean of an expression; a node-set is true if it has a node."""
+        if (name := own_attribute(e)) is not None:
+            frame, c = self.attribute(frame, name)
+            return frame, c.isNotNull()
         if is_node_set(e):
             frame, c = self.reduced(frame, e, (F.count("*"), False))
             return frame, F.coalesce(c > 0, F.lit(False))
@@ -196,6 +213,9 @@ class NodeDocuments:
         if right:
             return self.comparison(frame, Bin(_FLIP[e.op], e.right, e.left))
         frame, b = self.compile(frame, e.right)
+        if left and (name := own_attribute(e.left)) is not None and b.kind != "boolean":
+            frame, c = self.attribute(frame, name)
+            return frame, boolean(c.isNotNull() & self.plain(e.op, string(c), b))
         if not left:
             frame, a = self.compile(frame, e.left)
             return frame, boolean(self.plain(e.op, a, b))
@@ -205,7 +225,7 @@ class NodeDocuments:
         # exists a node for which it holds: the scalar travels to the nodes, one flag per node comes back
         scalar, flag = self.fresh(), self.fresh()
         frame = frame.withColumn(scalar, b.col)
-        got = self.strings(self.nested(frame, e.left))
+        got = self.strings(self.nested(frame, e.left), e.left)
         mine = frame.select(F.col("doc_id").alias("s_doc"), F.col("node_id").alias("s_id"), scalar).dropDuplicates()
         met = got.join(mine, (F.col("doc_id") == F.col("s_doc")) & (F.col("oid") == F.col("s_id")))
         held = met.filter(self.plain(e.op, string(F.col("sv")), Value(F.col(scalar), b.kind))).select("doc_id", "oid", scalar).distinct().withColumn(flag, F.lit(True))
@@ -215,7 +235,7 @@ class NodeDocuments:
 
     def between_sets(self, frame: DataFrame, e: Bin) -> tuple[DataFrame, Value]:
         """Two node-sets: equal strings by an equi-join, everything else by extremes."""
-        a, b = self.strings(self.nested(frame, e.left)), self.strings(self.nested(frame, e.right))
+        a, b = self.strings(self.nested(frame, e.left), e.left), self.strings(self.nested(frame, e.right), e.right)
         name = self.fresh()
         if e.op == "=":
             x, y = a.select("doc_id", "oid", "sv").distinct(), b.select("doc_id", "oid", "sv").distinct()
@@ -273,6 +293,15 @@ class NodeDocuments:
         return frame, function(*values)
 
 
+def own_attribute(e) -> str | None:
+    """Name of the attribute if the expression is ``@name`` of the context node."""
+    if isinstance(e, Path) and e.start is None and len(e.steps) == 1 and not e.predicates:
+        s = e.steps[0]
+        if s.axis == "attribute" and s.test.kind == "name" and not s.predicates:
+            return s.test.name
+    return None
+
+
 def is_node_set(e) -> bool:
     if isinstance(e, Bin):
         return e.op == "|"
