@@ -47,6 +47,8 @@ class Neg:
 
 @dataclass(frozen=True)
 class Test:
+    __test__ = False  # not a test case
+
     kind: str  # name any text node comment pi
     name: str | None = None
 

@@ -110,8 +110,9 @@ class NodeDocuments:
         """Nodes a key finds in the same document: an equi-join of (doc_id, use value)."""
         match, use = self.keys[call.args[0].value]
         marked = self.navigate(self.roots().withColumn("oid", F.lit(0).cast("long")), parse(f"//{match}" if not match.startswith("/") else match)).select(NODE_COLUMNS)
-        indexed = self.strings(self.navigate(marked.withColumn("oid", F.col("node_id")), parse(use)), parse(use)).select("doc_id", F.col("oid").alias("k_id"), F.col("sv").alias("k_use"))
-        nodes = marked.join(indexed, (marked["node_id"] == F.col("k_id")) & (marked["doc_id"] == indexed["doc_id"])).select(*(marked[c] for c in NODE_COLUMNS), "k_use")
+        indexed = self.strings(self.navigate(marked.withColumn("oid", F.col("node_id")), parse(use)), parse(use))
+        indexed = indexed.select(F.col("doc_id").alias("k_doc"), F.col("oid").alias("k_id"), F.col("sv").alias("k_use"))
+        nodes = marked.join(indexed, (F.col("node_id") == F.col("k_id")) & (F.col("doc_id") == F.col("k_doc"))).select(*NODE_COLUMNS, "k_use")
         arg = call.args[1]
         if is_node_set(arg):
             wanted = self.strings(self.navigate(frame, arg)).select("oid", F.col("doc_id").alias("w_doc"), F.col("sv").alias("w_use")).distinct()
