@@ -339,7 +339,7 @@ style_query("style_templates_modes", '<xsl:template match="region"><r><xsl:apply
 style_query("style_recursion", '<xsl:template name="f"><xsl:param name="n" select="1"/><xsl:choose><xsl:when test="$n &lt;= 1">1</xsl:when><xsl:otherwise><xsl:variable name="r"><xsl:call-template name="f"><xsl:with-param name="n" select="$n - 1"/></xsl:call-template></xsl:variable><xsl:value-of select="$n * $r"/></xsl:otherwise></xsl:choose></xsl:template>'
             f'{_T}<xsl:call-template name="f"><xsl:with-param name="n" select="count(//nation) + 3"/></xsl:call-template></xsl:template>', _AGG.format("factorial(count(*)::int + 3)::bigint::varchar"))
 style_query("style_identity_copy", '<xsl:template match="@*|node()"><xsl:copy><xsl:apply-templates select="@*|node()"/></xsl:copy></xsl:template>',
-            _AGG.format("'<region id=\"' || n_regionkey || '\">' || string_agg('<nation key=\"' || n_nationkey || '\"><name>' || n_name || '</name></nation>', '' order by n_nationkey) || '</region>'"))
+            _AGG.format("'<region id=\"' || n_regionkey || '\">' || string_agg('<nation key=\"' || n_nationkey || '\"><name>' || n_name || '</name></nation>', '' order by n_nationkey) || '</region>'") + ", n_regionkey")
 style_query("style_construct", f'<xsl:variable name="g" select="count(//nation)"/>{_T}<xsl:element name="e{{$g}}"><xsl:attribute name="id"><xsl:value-of select="region/@id"/></xsl:attribute><xsl:comment>c</xsl:comment><xsl:processing-instruction name="p">d</xsl:processing-instruction><xsl:copy-of select="//nation[1]/name"/><xsl:text>&amp;</xsl:text></xsl:element></xsl:template>',
             _AGG.format("'<e' || count(*) || ' id=\"' || n_regionkey || '\"><!--c--><?p d?><name>' || min_by(n_name, n_nationkey) || '</name>&amp;</e' || count(*) || '>'") + ", n_regionkey")
 style_query("style_key_number", f'<xsl:key name="k" match="nation" use="@key mod 2"/>{_T}<xsl:for-each select="key(\'k\', 1)"><xsl:number format="1."/></xsl:for-each><xsl:value-of select="generate-id(//nation[1]) = generate-id(key(\'k\', //nation[1]/@key mod 2)[1])"/></xsl:template>',

@@ -101,8 +101,11 @@ class NodeDocuments:
                 frame = frame.withColumn("_pos", F.row_number().over(w.orderBy(order)).cast("double"))
                 if calls(p, {"last"}):
                     frame = frame.withColumn("_last", F.count("*").over(w).cast("double"))
-            frame, v = self.compile(frame, p)
-            condition = compare("=", v.col, F.col("_pos")) if v.kind == "number" else v.boolean
+            if is_node_set(p):  # true if it has a node, whatever the node's text
+                frame, condition = self.truth(frame, p)
+            else:
+                frame, v = self.compile(frame, p)
+                condition = compare("=", v.col, F.col("_pos")) if v.kind == "number" else v.boolean
             frame = frame.filter(condition).select(keep)
         return frame
 

@@ -11,7 +11,7 @@ XML = '<a x="1"><b id="p">one</b><b id="q">two<c>3</c></b><c>7</c><d ref="q"/></
 PATHS = [
     "/a/b", "//c", "/a/b[2]/c", "//b[last()]", "//@id", "/a/*[position() > 1]", "//c/ancestor::*", "//c/preceding::*", "//c/following::*",
     "/a/b[1]/following-sibling::*", "//d/preceding-sibling::*[1]", "//b[@id = 'q']", "//*[c]", "//*[not(c)]", "/a/b[c = 3]", "/a/c[. > //b/c]",
-    "//b | //d", "//text()", "//*[@id = //@ref]", "//c/ancestor-or-self::*", "//b/descendant-or-self::node()", "//c/..", "//b[string-length(.) = 4]",
+    "//b | //d", "//text()", "//*[@id = //@ref]", "//c/ancestor-or-self::*", "//b/descendant-or-self::node()", "//c/..", "//*[d]", "//d[@ref]", "//b[string-length(.) = 4]",
 ]
 
 
