@@ -5,8 +5,8 @@
    text come last, others by hash. Two linked sets share a token among the first ``n - ceil(t * n) + 1`` of each, so only
    those are posted. The order decides the cost alone, any order gives the same links. At most ``LATE_TOKENS`` tokens
    are sent out as late ones.
-3. *First search.* In each list, members of like size search against the list's smallest member: as many searches as
-   postings, however long the list. Found links are joined to components.
+3. *First search.* In each list, members of like size search against the one member with the fewest rarer tokens: as many
+   searches as postings, however long the list. Found links are joined to components.
 4. *Second search.* Only members of one list that are still in different components are compared, with the size and
    position filters, so nothing is left out: a pair in one component needs no link of its own.
 5. *Search.* T-occurrence search with DivideSkip: a query's inverted lists over its candidates are split; the longest
@@ -195,8 +195,11 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     texts = materialize(
         text.join(lists.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node", "text"]), "texts"
     )
-    hubs = lists.groupBy("token", "band").agg(F.min(F.struct("n", "node")).alias("hub"), F.count("*").alias("m")).filter("m > 1")
-    stars = lists.join(hubs.select("token", "band", F.col("hub.node").alias("a")), ["token", "band"]).filter("a != node").select("a", F.col("node").alias("b")).distinct()
+    # the hub of a list is the member that has the fewest rarer tokens before this one: the likeliest centre of a group
+    hubs = lists.groupBy("token", "band").agg(F.min(F.struct("at", "n", "node")).alias("hub"), F.count("*").alias("m")).filter("m > 1")
+    hubs = hubs.select("token", "band", F.col("hub.node").alias("a"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at"))
+    can = F.least(F.col("n") - F.col("at"), F.col("hub_n") - F.col("hub_at")) >= F.ceil((F.col("n") + F.col("hub_n")) * percent / (100 + percent))
+    stars = lists.join(hubs, ["token", "band"]).filter((F.col("a") != F.col("node")) & can).select("a", F.col("node").alias("b")).distinct()
     first = materialize(verify(stars, texts, k, percent), "found")
     # rows of one doc_id are one document
     same_id = full.groupBy("key").agg(F.min("doc_id").alias("a")).join(full.select("key", F.col("doc_id").alias("b")).distinct(), "key").filter("a != b").select("a", "b")
