@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,13 +35,30 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str, **options) -> DataFrame:
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables materialised inside are deleted at the end, but for those marked ``keep``: what leaves the scope must
+    rest on kept ones alone."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete(spark, path)
+
+
+def materialize(df: DataFrame, tag: str, keep: bool = False, **options) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage: a lost executor costs its running tasks only, as finished parts lie in shared storage. The commit
     protocol keeps partial output of failed or speculative tasks out of the table.
     """
     path = fresh_path(df.sparkSession, tag)
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

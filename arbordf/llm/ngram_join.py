@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import materialize, read_table, temporary
 from .components import connected_components
 from .words import Words, blocks, lower_ascii, mix, shingle_hashes
 
@@ -182,6 +182,11 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the groups that links make, by their smallest doc_id."""
+    with temporary(docs.sparkSession):  # postings, texts of candidates and links go as soon as the groups are written
+        return materialize(_groups(docs, k, percent), "groups", keep=True)
+
+
+def _groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     signed = materialize(signatures(text, k, percent, late_tokens(text, k)), "signatures")
     full = signed.filter("key is not null and doc_id is not null")
@@ -215,7 +220,10 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
                & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (room >= overlap))
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     )
-    second = materialize(verify(open_pairs, texts, k, percent), "found")
+    # between components one link is as good as many
+    place = placed.select("node", "component").distinct()
+    ends = verify(open_pairs, texts, k, percent).join(place.toDF("a", "ca"), "a").join(place.toDF("b", "cb"), "b")
+    second = materialize(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "found")
     groups = connected_components(first.unionAll(second).unionAll(same_id))
     ids = signed.select("doc_id", F.col("n").alias("n_shingles"))
     return ids.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
