@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import read_table
 from .words import blocks, mix
 
 RADIUS, WINDOW_BYTES, LEAST_WORDS = 4, 16, 15
@@ -92,10 +92,10 @@ def chunks(docs: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Every repeated passage: doc_id, start, end (bytes of the text), words, chunks, first_doc_id (a document that holds
     the first occurrence of its first chunk) and copies (occurrences of its most frequent chunk)."""
-    cut = materialize(chunks(docs), "chunks")
-    # the same place of one doc_id counts once
-    seen = cut.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "seq")).alias("first"), F.max(F.struct("doc_id", "seq")).alias("last"), F.count("*").alias("n"))
-    seen = seen.filter("first != last").select("hi", "lo", F.col("first.doc_id").alias("first_doc"), F.col("first.seq").alias("first_seq"), "n")
+    # cut twice rather than written once: cutting is cheap and always gives the same chunks
+    cut = chunks(docs)
+    seen = cut.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "seq")).alias("first"), F.count("*").alias("n"))
+    seen = seen.filter("n > 1").select("hi", "lo", F.col("first.doc_id").alias("first_doc"), F.col("first.seq").alias("first_seq"), "n")
     again = cut.join(seen, ["hi", "lo"]).filter("doc_id != first_doc or seq != first_seq").select("doc_id", "seq", "start", "end", "words", "first_doc", "n")
     # chunks in a row share (place - rank); repeated rows share a rank
     run = (F.col("seq") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("seq"))).alias("run")
