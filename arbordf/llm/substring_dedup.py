@@ -127,7 +127,8 @@ def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
             columns = [b.column(c) for c in range(len(docs_columns))]
             columns[at] = pa.array(texts, pa.string())
             if "n_chars" in docs_columns:
-                columns[docs_columns.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+                at_n = docs_columns.index("n_chars")
+                columns[at_n] = pa.array([None if t is None else len(t) for t in texts], columns[at_n].type)
             yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
 
     docs_columns = docs.columns
