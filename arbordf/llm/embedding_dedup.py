@@ -4,9 +4,12 @@
 * Every class vector is described by its ``prefix`` nearest of a bounded sample of reference points (pivots), in order
   of nearness. The number of pivots grows with the root of the number of vectors (``MAX_PIVOTS`` at most), so lists stay
   short; pivots are a sample of at most that many rows, the index holds every row.
+* Pivots are kept apart, but ``LEAST_PIVOTS`` of a length stay where the sample has as many (see ``spread``). The prefix
+  grows until ``PROBED`` of made pairs at the least cosine share enough pivots (see ``fitting_prefix``), up to all
+  pivots: then every pair of the length is verified.
 * Inverted lists (label, pivot) are cut into blocks of about ``BLOCK`` vectors; every pair of blocks of a list is one
-  small group of rows, so no list is gathered whole. Within a group, pairs that share at least ``shared`` pivots are
-  verified by their cosine in double precision. A pair is counted in the list of its smallest common pivot only.
+  small group of rows, so no list is gathered whole. Within a group, pairs that share at least ``shared`` pivots (all, if
+  the length has fewer) are verified by their cosine in double precision. A pair is counted in the list of its smallest common pivot only.
 * A group returns per vector how many others it links to, and one link to the smallest member of each linked set: never
   more rows than it read.
 
@@ -30,6 +33,10 @@ from .components import connected_components
 MAX_PIVOTS, BLOCK = 1 << 15, 256
 #: Pivots are less alike than this.
 PIVOT_COSINE = 0.7
+#: Separations tried in turn while fewer pivots than this stay.
+LEAST_PIVOTS, WIDER = 32, (0.8, 0.9, 0.95, 0.98)
+#: Share of made pairs at the least cosine that the index must hold, and their number.
+PROBED, PROBES = 0.99, 512
 
 
 def _unit(rows: list, dim: int) -> np.ndarray:
@@ -56,6 +63,46 @@ def apart(rows: np.ndarray, most: float) -> np.ndarray:
     return kept
 
 
+def spread(rows: np.ndarray) -> np.ndarray:
+    """Pivots of unit ``rows``: apart by ``PIVOT_COSINE``, or by less where vectors lie in a narrow cone."""
+    kept = apart(rows, PIVOT_COSINE)
+    for most in WIDER:
+        if len(kept) >= min(LEAST_PIVOTS, len(rows)):
+            break
+        kept = apart(rows, most)
+    return kept
+
+
+def _nearest(unit: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` nearest pivots of each row, nearest first."""
+    cos = unit @ pivots.T
+    top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(cos, top, axis=1), axis=1, kind="stable"), axis=1)
+
+
+def fitting_prefix(rows: np.ndarray, pivots: np.ndarray, least: float, prefix: int, shared: int) -> int:
+    """``prefix``, doubled until ``PROBED`` of the probes share ``shared`` of it, or it holds all pivots.
+
+    A probe is a row and its turn by the angle of ``least`` towards the difference of two others: the farthest pair that
+    links, in a direction in which the rows differ.
+    """
+    pick = np.random.default_rng(0).integers(0, len(rows), (3, PROBES))
+    a, d = rows[pick[0]], rows[pick[1]] - rows[pick[2]]
+    d = d - (d * a).sum(axis=1, keepdims=True) * a
+    size = np.linalg.norm(d, axis=1)
+    a, d = a[size > 1e-6], d[size > 1e-6] / size[size > 1e-6, None]
+    b = least * a + math.sqrt(max(1 - least * least, 0)) * d
+    while prefix < len(pivots) and len(a):
+        found = 0
+        for i in range(0, len(a), 64):
+            x, y = _nearest(a[i : i + 64], pivots, prefix), _nearest(b[i : i + 64], pivots, prefix)
+            found += sum(len(np.intersect1d(p, q)) >= shared for p, q in zip(x, y))
+        if found >= PROBED * len(a):
+            break
+        prefix *= 2
+    return prefix
+
+
 def valid_vectors(vectors: DataFrame) -> DataFrame:
     """Rows that can link, with the digest of their embedding."""
     e = F.col("embedding")
@@ -65,8 +112,9 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite).select("vec_id", "label", F.size(e).alias("dim"), digest.alias("digest"), "embedding")
 
 
-def describe(classes: DataFrame, pivots: dict[int, np.ndarray], prefix: int) -> DataFrame:
-    """Add ``near``: the nearest pivots of each class vector, nearest first. ``pivots`` holds unit rows per length."""
+def describe(classes: DataFrame, pivots: dict[int, tuple[np.ndarray, int]]) -> DataFrame:
+    """Add ``near``: the nearest pivots of each class vector, nearest first. ``pivots`` holds unit rows and the prefix
+    per length."""
     sent = classes.sparkSession.sparkContext.broadcast(pivots)
 
     def run(it):
@@ -74,34 +122,32 @@ def describe(classes: DataFrame, pivots: dict[int, np.ndarray], prefix: int) ->
             dims, rows = np.array(b.column("dim").to_pylist(), dtype=np.int64), b.column("embedding").to_pylist()
             near: list = [None] * len(rows)
             for dim in np.unique(dims).tolist():
-                own, p = np.flatnonzero(dims == dim), sent.value[dim]
+                own, (p, prefix) = np.flatnonzero(dims == dim), sent.value[dim]
                 k = min(prefix, len(p))
                 for i in range(0, len(own), 512):
                     part = own[i : i + 512]
-                    cos = _unit([rows[j] for j in part], dim) @ p.T
-                    top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-                    order = np.argsort(-np.take_along_axis(cos, top, axis=1), axis=1, kind="stable")
-                    for j, t in zip(part.tolist(), np.take_along_axis(top, order, axis=1)):
+                    for j, t in zip(part.tolist(), _nearest(_unit([rows[j] for j in part], dim), p, k)):
                         near[j] = t.astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.list_(pa.int32()))], names=[*b.schema.names, "near"])
 
     return classes.mapInArrow(run, f"{', '.join(f'{n} {t}' for n, t in classes.dtypes)}, near array<int>")
 
 
-def _pairs(vec: np.ndarray, near: list, left: np.ndarray, right: np.ndarray, pivot: int, shared: int, least: float, prefix: int):
+def _pairs(vec: np.ndarray, near: list, left: np.ndarray, right: np.ndarray, pivot: int, shared: int, least: float):
     """Linked (i, j) of rows ``left`` x ``right`` that belong to this pivot's list."""
     values, where = np.unique(np.concatenate(near), return_inverse=True)
     holds = np.zeros((len(near), len(values)), dtype=np.float32)
     holds[np.repeat(np.arange(len(near)), [len(x) for x in near]), where] = 1
     before = values < pivot
-    ok = holds[left] @ holds[right].T >= shared
+    # all vectors of a length hold equally many pivots
+    ok = holds[left] @ holds[right].T >= min(shared, len(near[0]))
     ok &= holds[left][:, before] @ holds[right][:, before].T == 0
     ok &= vec[left] @ vec[right].T >= least
     i, j = np.nonzero(ok)
     return left[i], right[j]
 
 
-def link_blocks(described: DataFrame, least: float, shared: int, prefix: int, block: int = BLOCK) -> DataFrame:
+def link_blocks(described: DataFrame, least: float, shared: int, block: int = BLOCK) -> DataFrame:
     """Rows (node, links, low): vectors linked to ``node`` found in a group, and the smallest node of its linked set."""
     posted = described.select("node", "label", "dim", "m", "near", "embedding", F.explode("near").alias("pivot"))
     parts = posted.groupBy("label", "dim", "pivot").agg(F.count("*").alias("size")).filter("size > 1")
@@ -120,10 +166,10 @@ def link_blocks(described: DataFrame, least: float, shared: int, prefix: int, bl
         node, m, near = np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.int64), [np.array(r[4]) for r in rows]
         if key[3] == key[4]:
             every = np.arange(len(rows))
-            i, j = _pairs(vec, near, every, every, key[2], shared, least, prefix)
+            i, j = _pairs(vec, near, every, every, key[2], shared, least)
             i, j = i[i < j], j[i < j]
         else:
-            i, j = _pairs(vec, near, np.flatnonzero(own == key[3]), np.flatnonzero(own == key[4]), key[2], shared, least, prefix)
+            i, j = _pairs(vec, near, np.flatnonzero(own == key[3]), np.flatnonzero(own == key[4]), key[2], shared, least)
         if not len(i):
             return None
         links = np.bincount(i, m[j], len(rows)) + np.bincount(j, m[i], len(rows))
@@ -170,9 +216,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, prefix: int = 8, sh
     for dim, n in sizes.items():
         wanted = int(min(max(per_root * math.sqrt(n), 32), MAX_PIVOTS))
         rows = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("node", "digest")).limit(wanted).select("embedding").toArrow().column(0).to_pylist()
-        pivots[dim] = apart(_unit(rows, dim), PIVOT_COSINE)
-    described = materialize(describe(classes.filter(F.col("dim").isin(list(pivots))), pivots, prefix), "described")
-    found = materialize(link_blocks(described, least, shared, prefix), "found")
+        sample = _unit(rows, dim)
+        chosen = spread(sample)
+        pivots[dim] = chosen, fitting_prefix(sample, chosen, least, prefix, shared)
+    described = materialize(describe(classes.filter(F.col("dim").isin(list(pivots))), pivots), "described")
+    found = materialize(link_blocks(described, least, shared), "found")
     groups = connected_components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     placed = (
