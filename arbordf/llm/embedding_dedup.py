@@ -14,7 +14,8 @@
   more rows than it read.
 
 Vectors that are null, empty, zero, hold null or non-finite components, or have no label link with nothing; vectors of
-different lengths are not compared. Rows with the same vec_id are one vector per distinct embedding and take its class.
+different lengths are not compared. Lengths after the ``MAX_LENGTHS`` most frequent have one list each, of all their
+vectors: every pair is verified. Rows with the same vec_id are one vector per distinct embedding and take its class.
 Extra columns are ignored.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import materialize, read_table
 from .components import connected_components
 
-MAX_PIVOTS, BLOCK = 1 << 15, 256
+MAX_PIVOTS, MAX_LENGTHS, BLOCK = 1 << 15, 64, 256
 #: Pivots are less alike than this.
 PIVOT_COSINE = 0.7
 #: Separations tried in turn while fewer pivots than this stay.
@@ -114,7 +115,7 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
 
 def describe(classes: DataFrame, pivots: dict[int, tuple[np.ndarray, int]]) -> DataFrame:
     """Add ``near``: the nearest pivots of each class vector, nearest first. ``pivots`` holds unit rows and the prefix
-    per length."""
+    per length; a length without them has one constant pivot."""
     sent = classes.sparkSession.sparkContext.broadcast(pivots)
 
     def run(it):
@@ -122,7 +123,12 @@ def describe(classes: DataFrame, pivots: dict[int, tuple[np.ndarray, int]]) -> D
             dims, rows = np.array(b.column("dim").to_pylist(), dtype=np.int64), b.column("embedding").to_pylist()
             near: list = [None] * len(rows)
             for dim in np.unique(dims).tolist():
-                own, (p, prefix) = np.flatnonzero(dims == dim), sent.value[dim]
+                own = np.flatnonzero(dims == dim)
+                if dim not in sent.value:
+                    for j in own.tolist():
+                        near[j] = np.zeros(1, dtype=np.int32)
+                    continue
+                p, prefix = sent.value[dim]
                 k = min(prefix, len(p))
                 for i in range(0, len(own), 512):
                     part = own[i : i + 512]
@@ -211,7 +217,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, prefix: int = 8, sh
     # two embeddings under one vec_id: nodes are told apart by class, components join them again through vec_id
     classes = classes.select(F.col("c.vec_id").alias("node"), "label", "dim", "m", F.col("c.embedding").alias("embedding"), "digest")
     classes = materialize(classes, "classes")
-    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect()}
+    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(MAX_LENGTHS).collect()}
     pivots = {}
     for dim, n in sizes.items():
         wanted = int(min(max(per_root * math.sqrt(n), 32), MAX_PIVOTS))
@@ -219,7 +225,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, prefix: int = 8, sh
         sample = _unit(rows, dim)
         chosen = spread(sample)
         pivots[dim] = chosen, fitting_prefix(sample, chosen, least, prefix, shared)
-    described = materialize(describe(classes.filter(F.col("dim").isin(list(pivots))), pivots), "described")
+    described = materialize(describe(classes, pivots), "described")
     found = materialize(link_blocks(described, least, shared), "found")
     groups = connected_components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))

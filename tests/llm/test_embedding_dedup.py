@@ -35,3 +35,12 @@ def test_narrow_cone(spark):
     assert want.sum() > 1500
     assert all(got[i] <= n for i, n in enumerate(want.tolist()))
     assert sum(got.values()) >= 0.99 * want.sum()
+
+
+def test_more_lengths_than_have_pivots(spark):
+    rows = [e for dim in range(2, 70) for e in ([1.0] * dim, [1.0] * (dim - 1) + [1.1], [-1.0] + [1.0] * (dim - 1))]
+    want = {}
+    for i, a in enumerate(rows):
+        same = [np.array(b) for j, b in enumerate(rows) if j != i and len(b) == len(a)]
+        want[i] = sum(float(b @ a / np.linalg.norm(a) / np.linalg.norm(b)) >= 0.93 for b in same)
+    assert found(spark, rows) == want
