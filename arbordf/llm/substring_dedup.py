@@ -2,12 +2,18 @@
 
 A gear rolling hash runs over the bytes of a text. A chunk ends at a word whose hash is the least among its ``RADIUS``
 neighbours on either side, so borders depend on nearby bytes alone: an insertion moves borders near it and no others,
-and a passage shared by two texts is cut alike in both but for its edges. Chunks hold ``RADIUS + 1`` words or more
-(but at the ends of a text), about ``2 * RADIUS + 1`` on average.
+and a passage shared by two texts is cut alike in both but for its edges. Chunks hold about ``2 * RADIUS + 1`` words on
+average and ``MOST_WORDS`` at most.
+
+A word of more than ``LONG_WORD`` bytes (text without blanks) is cut into pieces by the same rule over the hashes at the
+ends of its characters, within ``PIECE_RADIUS``; pieces then count as words do for borders, but only the last as a word.
+A stretch that cycles through up to ``RADIUS`` words has no least hash: it is cut at both ends and every ``CYCLE`` words
+from its first least hash, so it is cut alike in any context. A stretch of one repeated character within a word is cut at its ends
+only, and is one piece.
 
 A chunk found before, in an earlier document or place (order: doc_id, then place), repeats. A run of repeating chunks in
-a row with at least ``least_words`` words is a repeated passage; it is removed and the first occurrence stays. Shorter
-runs are left alone, as a few frequent words in a row repeat by chance.
+a row with at least ``least_words`` words or ``LEAST_BYTES`` bytes is a repeated passage; it is removed and the first
+occurrence stays. Shorter runs are left alone, as a few frequent words in a row repeat by chance.
 
 Null text counts as empty and has no chunks. Rows with the same doc_id are one document: alike, they stay alike. A null
 doc_id never repeats and is never changed. Extra columns stay as they are.
@@ -25,7 +31,10 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .words import blocks, mix
 
-RADIUS, WINDOW_BYTES, LEAST_WORDS = 4, 16, 15
+RADIUS, WINDOW_BYTES, LEAST_WORDS, LEAST_BYTES = 4, 16, 15, 200
+LONG_WORD, PIECE_RADIUS, MOST_WORDS = 64, 2, 96
+#: Ties in a row that make a stretch, and the words of its chunks: a multiple of every cycle up to RADIUS.
+STRETCH, CYCLE = 16, 24
 #: The gear table: a fixed pseudo-random 32-bit value for each byte.
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -41,6 +50,45 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def borders(value: np.ndarray, owner: np.ndarray, radius: int, cycle: int = 0) -> np.ndarray:
+    """Whether a border follows each place: at least hashes within ``radius`` places of the same owner (ascending), at the
+    ends of stretches of ties, every ``cycle`` places within these, and at the last place of an owner."""
+    # places of different owners stand more than radius apart, so that neighbours never belong to another one
+    changes = np.flatnonzero(np.diff(owner)) + 1
+    place = np.arange(len(value)) + radius
+    place += radius * np.searchsorted(changes, np.arange(len(value)), side="right")
+    line = np.full(place[-1] + radius + 1, np.iinfo(np.uint64).max, dtype=np.uint64)
+    line[place] = value
+    cut, tied = np.ones(len(value), dtype=bool), np.zeros(len(value) + 2, dtype=bool)
+    for k in range(1, radius + 1):
+        cut &= (value < line[place - k]) & (value <= line[place + k])
+        tied[1:-1] |= value == line[place - k]
+    turns = np.flatnonzero(tied[1:] != tied[:-1]).reshape(-1, 2)
+    for start, end in turns[turns[:, 1] - turns[:, 0] >= STRETCH].tolist():
+        cut[start:end] = False
+        cut[[start - 1, end - 1]] = True  # the first place of an owner is never tied
+        if cycle:
+            # counted from a least hash, so that the cycle's beginning does not matter
+            cut[start + int(value[start : start + radius].argmin()) : end : cycle] = True
+    cut[changes - 1] = True
+    cut[-1] = True
+    return cut
+
+
+def pieces(data: np.ndarray, hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Ends of the pieces of long words but the last ones, which are the words' own ends."""
+    long = np.flatnonzero(ends - begins > LONG_WORD)
+    if not len(long):
+        return np.empty(0, dtype=np.int64)
+    sizes = (ends - begins)[long]
+    at = np.repeat(begins[long] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    word = np.repeat(long, sizes)
+    whole = (data[at + 1] & 0xC0) != 0x80  # the next byte begins a character
+    at, word = at[whole], word[whole]
+    found = at[borders(mix(hashes[at].astype(np.uint64)) >> np.uint64(1), word, PIECE_RADIUS)] + 1
+    return np.setdiff1d(found, ends[long])
+
+
 def chunk_bounds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, end, words) of every chunk of a block of texts; start and end count bytes within the text."""
     pad = b" " * WINDOW_BYTES
@@ -53,21 +101,22 @@ def chunk_bounds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     if not len(begins):
         none = np.empty(0, dtype=np.int64)
         return none, none, none, none
+    hashes = gear_hashes(data)
+    more = pieces(data, hashes, begins, ends)
+    is_word = np.ones(len(ends), dtype=np.int64)
+    if len(more):
+        where = np.searchsorted(ends, more)
+        begins, ends, is_word = np.sort(np.concatenate([begins, more])), np.insert(ends, where, more), np.insert(is_word, where, 0)
     owner = np.searchsorted(at, begins, side="right") - 1
-    value = mix(gear_hashes(data)[ends - 1].astype(np.uint64)) >> np.uint64(1)
-    # words of different texts stand RADIUS places apart, so that neighbours never belong to another text
-    place = np.arange(len(value)) + (owner + 1) * RADIUS
-    line = np.full(place[-1] + RADIUS + 1, np.iinfo(np.uint64).max, dtype=np.uint64)
-    line[place] = value
-    cut = np.ones(len(value), dtype=bool)
-    for k in range(1, RADIUS + 1):
-        cut &= (value < line[place - k]) & (value <= line[place + k])
-    cut[np.flatnonzero(np.diff(owner))] = True
-    cut[-1] = True
+    cut = borders(mix(hashes[ends - 1].astype(np.uint64)) >> np.uint64(1), owner, RADIUS, CYCLE)
+    last = np.flatnonzero(cut)
+    for end, size in zip(last.tolist(), np.diff(last, prepend=-1).tolist()):
+        if size > MOST_WORDS:
+            cut[end - size + MOST_WORDS : end : MOST_WORDS] = True
     last = np.flatnonzero(cut)
     first = np.concatenate([[0], last[:-1] + 1])
     text = owner[last]
-    return text, begins[first] - at[text], ends[last] - at[text], last - first + 1
+    return text, begins[first] - at[text], ends[last] - at[text], np.add.reduceat(is_word, first)
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -102,9 +151,9 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     runs = again.dropDuplicates(["doc_id", "seq"]).select("*", run).groupBy("doc_id", "run")
     passages = runs.agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.count("*").alias("chunks"),
-        F.min(F.struct("seq", "first_doc"))["first_doc"].alias("first_doc_id"), F.max("n").alias("copies"),
+        F.min(F.struct("seq", "first_doc"))["first_doc"].alias("first_doc_id"), F.max("n").alias("copies"), F.sum(F.col("end") - F.col("start")).alias("bytes"),
     )
-    return passages.filter(F.col("words") >= least_words).drop("run")
+    return passages.filter((F.col("words") >= least_words) | (F.col("bytes") >= LEAST_BYTES)).drop("run", "bytes")
 
 
 
