@@ -12,7 +12,8 @@ the merge loop; the two edges are tested. Hence no id outside can change any mor
 would break the first condition; a piece that is itself a token is looked up before the merge loop, as rank-based
 coders do, and ids of unreachable tokens are never compatible with anything, which only widens windows.
 
-Decoding maps ids to byte strings and concatenates them up the tree.
+Decoding maps ids to byte strings. ``RankCoder.decode`` concatenates them up the tree; the query decodes whole blocks by
+one flat gather (``TextCoder.decode_block``), which gives the same bytes.
 
 Whole texts: each match of the pattern is encoded separately, and distinct parts of texts once per worker (see
 ``segments``). Null text counts as empty: no ids, the hash of no bytes. Repeated rows, null ids and extra columns are
