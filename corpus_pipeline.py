@@ -48,7 +48,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The stages fit models and tokenise: no SQL can express them. tests/llm/test_pipeline.py has a brute-force version.
+#: The stages fit models and tokenise: no SQL can express them. tests/llm/test_pipeline.py compares ngram_jaccard with brute
+#: force, and of the other stages columns, doc_ids or shares only.
 ORACLE_SQL = None
 
 
