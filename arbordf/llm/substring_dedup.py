@@ -11,12 +11,14 @@ A stretch that cycles through up to ``RADIUS`` words has no least hash: it is cu
 from its first least hash, so it is cut alike in any context. A stretch of one repeated character within a word is cut at its ends
 only, and is one piece.
 
-A chunk found before, in an earlier document or place (order: doc_id, then place), repeats. A run of repeating chunks in
-a row with at least ``least_words`` words or ``LEAST_BYTES`` bytes is a repeated passage; it is removed and the first
-occurrence stays. Shorter runs are left alone, as a few frequent words in a row repeat by chance.
-
-Null text counts as empty and has no chunks. Rows with the same doc_id are one document: alike, they stay alike. A null
-doc_id never repeats and is never changed. Extra columns stay as they are.
+A chunk found before, in an earlier text or place (order: doc_id, hash of the text, place), repeats. A run of repeating
+chunks in a row with at least ``least_words`` words or ``least_bytes`` bytes is a repeated passage; it is removed and the
+first occurrence stays. Shorter runs are left alone, as a few frequent words in a row repeat by chance; ``least_words`` of
+1 finds every run.
+
+A text is known by doc_id and the 64-bit hash of the text (``text_key``), from chunking to removal: unlike texts of one
+doc_id are texts of their own, equal rows are one text and stay alike. A null text has no chunks and stays null; a null
+doc_id never repeats and is never changed. An empty table has no passages. Extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table
@@ -40,6 +42,10 @@ GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
+def _text_key() -> Column:
+    return F.xxhash64("text")
+
+
 def gear_hashes(data: np.ndarray) -> np.ndarray:
     """At each byte the gear hash ``h = 2 * h + GEAR[byte]`` of the last ``WINDOW_BYTES`` bytes, by doubling."""
     h, width = GEAR[data], 1
@@ -120,7 +126,7 @@ def chunk_bounds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, seq, start, end (bytes), words and a 128-bit digest (hi, lo) of every chunk."""
+    """doc_id, text_key, seq, start, end (bytes), words and a 128-bit digest (hi, lo) of every chunk."""
 
     def cut(it):
         for b in it:
@@ -130,57 +136,61 @@ def chunks(docs: DataFrame) -> DataFrame:
                 digest = b"".join(xxhash.xxh3_128_digest(raw[t][a:z]) for t, a, z in zip(text.tolist(), start.tolist(), end.tolist()))
                 halves = np.frombuffer(digest, dtype="<i8").reshape(-1, 2)
                 seq = np.arange(len(text)) - np.searchsorted(text, text)
+                own = pa.array(text + first)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, len(some)).take(pa.array(text)), *(pa.array(x.astype(np.int32)) for x in (seq, start, end, words)), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
-                    names=["doc_id", "seq", "start", "end", "words", "hi", "lo"],
+                    [b.column(0).take(own), b.column(2).take(own), *(pa.array(x.astype(np.int32)) for x in (seq, start, end, words)), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                    names=["doc_id", "text_key", "seq", "start", "end", "words", "hi", "lo"],
                 )
 
-    return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(cut, "doc_id long, seq int, start int, end int, words int, hi long, lo long")
+    known = docs.select("doc_id", "text", _text_key().alias("text_key")).filter("doc_id is not null and text is not null")
+    return known.mapInArrow(cut, "doc_id long, text_key long, seq int, start int, end int, words int, hi long, lo long")
 
 
-def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Every repeated passage: doc_id, start, end (bytes of the text), words, chunks, first_doc_id (a document that holds
-    the first occurrence of its first chunk) and copies (occurrences of its most frequent chunk)."""
+def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """Every repeated passage: doc_id, text_key, start, end (bytes of the text), words, chunks, first_doc_id (a document that
+    holds the first occurrence of its first chunk) and copies (occurrences of its most frequent chunk)."""
     # cut twice rather than written once: cutting is cheap and always gives the same chunks
     cut = chunks(docs)
-    seen = cut.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "seq")).alias("first"), F.count("*").alias("n"))
-    seen = seen.filter("n > 1").select("hi", "lo", F.col("first.doc_id").alias("first_doc"), F.col("first.seq").alias("first_seq"), "n")
-    again = cut.join(seen, ["hi", "lo"]).filter("doc_id != first_doc or seq != first_seq").select("doc_id", "seq", "start", "end", "words", "first_doc", "n")
-    # chunks in a row share (place - rank); repeated rows share a rank
-    run = (F.col("seq") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("seq"))).alias("run")
-    runs = again.dropDuplicates(["doc_id", "seq"]).select("*", run).groupBy("doc_id", "run")
+    seen = cut.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "text_key", "seq")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    place = F.struct("doc_id", "text_key", "seq")
+    again = cut.join(seen, ["hi", "lo"]).filter(place != F.col("first")).select("doc_id", "text_key", "seq", "start", "end", "words", F.col("first.doc_id").alias("first_doc"), "n")
+    # chunks in a row share (place - rank); equal rows have equal chunks, of which one stays
+    run = (F.col("seq") - F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("seq"))).alias("run")
+    runs = again.dropDuplicates(["doc_id", "text_key", "seq"]).select("*", run).groupBy("doc_id", "text_key", "run")
     passages = runs.agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.count("*").alias("chunks"),
         F.min(F.struct("seq", "first_doc"))["first_doc"].alias("first_doc_id"), F.max("n").alias("copies"), F.sum(F.col("end") - F.col("start")).alias("bytes"),
     )
-    return passages.filter((F.col("words") >= least_words) | (F.col("bytes") >= LEAST_BYTES)).drop("run", "bytes")
-
+    return passages.filter((F.col("words") >= least_words) | (F.col("bytes") >= least_bytes)).drop("run", "bytes")
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """``docs`` without the passages, columns as they were; n_chars, where there, counts the characters left."""
-    spans = passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    joined = docs.alias("d").join(spans.select(F.col("doc_id").alias("key"), F.col("spans").alias("spans")).alias("s"), F.col("d.doc_id") == F.col("s.key"), "left")
-    at = docs.columns.index("text")
+    """``docs`` without the passages, columns as they were; n_chars, where there, counts the characters left.
+
+    Passages are taken out of the rows of their doc_id and text_key; null texts and null doc_ids stay as they are."""
+    names, at = docs.columns, docs.columns.index("text")
+    spans = passages.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "_spans")
+    joined = docs.withColumn("_own", F.when(F.col("text").isNotNull(), _text_key()))
+    joined = joined.join(spans, (F.col("doc_id") == F.col("_doc")) & (F.col("_own") == F.col("_key")), "left").select(*names, "_spans")
 
     def strip(it):
         for b in it:
             texts = b.column(at).to_pylist()
-            for i, s in enumerate(b.column(len(docs_columns) + 1).to_pylist()):
+            for i, s in enumerate(b.column(len(names)).to_pylist()):
                 if s:
                     raw, kept, last = texts[i].encode(), [], 0
                     for x in s:
                         kept.append(raw[last : x["start"]])
                         last = x["end"]
                     texts[i] = b"".join([*kept, raw[last:]]).decode()
-            columns = [b.column(c) for c in range(len(docs_columns))]
+            columns = [b.column(c) for c in range(len(names))]
             columns[at] = pa.array(texts, pa.string())
-            if "n_chars" in docs_columns:
-                at_n = docs_columns.index("n_chars")
+            if "n_chars" in names:
+                at_n = names.index("n_chars")
                 columns[at_n] = pa.array([None if t is None else len(t) for t in texts], columns[at_n].type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    docs_columns = docs.columns
     return joined.mapInArrow(strip, docs.schema)
 
 

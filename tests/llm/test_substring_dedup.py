@@ -56,3 +56,55 @@ def test_passages_of_both_kinds(spark):
     assert {2, 4} <= {r["doc_id"] for r in found.collect()}
     left = {r["doc_id"]: r["text"] for r in substring_dedup.remove_passages(docs, found).collect()}
     assert left[1] == rows[0][1] and len(left[2]) < 150 and left[4].count("la li") < 20
+
+
+def brute(rows, least_words, least_bytes):
+    """Passages by a plain walk over the texts in order; a text is (doc_id, text)."""
+    from pyspark.sql import functions as F  # noqa: F401
+
+    seen, out = {}, set()
+    for key, (d, text) in rows:
+        raw = text.encode()
+        _, start, end, words = substring_dedup.chunk_bounds([raw])
+        run = []
+        for i, (a, z, n) in enumerate(zip(start.tolist(), end.tolist(), words.tolist())):
+            first = seen.setdefault(raw[a:z], (d, key, i))
+            if first != (d, key, i):
+                run.append((a, z, n))
+                continue
+            out |= passage(d, key, run, least_words, least_bytes)
+            run = []
+        out |= passage(d, key, run, least_words, least_bytes)
+    return out
+
+
+def passage(d, key, run, least_words, least_bytes):
+    words, size = sum(r[2] for r in run), sum(r[1] - r[0] for r in run)
+    return {(d, key, run[0][0], run[-1][1], words, len(run))} if run and (words >= least_words or size >= least_bytes) else set()
+
+
+@pytest.mark.parametrize("least", [(15, 200), (1, 1)])
+def test_passages_equal_a_plain_walk(spark, edge_docs, least):
+    from pyspark.sql import functions as F
+
+    keyed = edge_docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("k"), "text").distinct()
+    rows = sorted((r["doc_id"], r["k"], r["text"]) for r in keyed.collect())
+    found = substring_dedup.repeated_passages(edge_docs, *least)
+    got = {(r["doc_id"], r["text_key"], r["start"], r["end"], r["words"], r["chunks"]) for r in found.collect()}
+    assert got == brute([(k, (d, t)) for d, k, t in rows], *least) and got
+
+
+def test_one_doc_id_with_unlike_texts(spark):
+    """Nulls and other texts under the id of a repeated passage."""
+    rng = random.Random(5)
+    passage = prose(rng, 90)
+    texts = [(1, passage), (2, f"é{prose(rng, 40)} {passage} {prose(rng, 30)}"), (2, None), (2, "漢" * 300), (2, f"é{prose(rng, 35)}"), (None, passage), (3, ""), (1, passage), (4, passage)]
+    docs = spark.createDataFrame([(d, t, 1, 2) for d, t in texts], "doc_id long, text string, text_key int, n_chars int").repartition(3)
+    left = substring_dedup.remove_passages(docs, substring_dedup.repeated_passages(docs)).collect()
+    assert len(left) == len(texts)
+    kept = sorted(((r["doc_id"], r["text"]) for r in left), key=str)
+    same = [x for x in texts if x[0] not in (2, 4) or x[1] in (None, "漢" * 300, texts[4][1])]
+    assert all(x in kept for x in same) and kept.count((1, passage)) == 2
+    cut = [t for d, t in kept if d == 2 and t and t.startswith("é") and t != texts[4][1]]
+    assert len(cut) == 1 and len(cut[0]) < len(texts[1][1]) - 300 and [t for d, t in kept if d == 4] == [""]
+    assert all(r["n_chars"] == len(r["text"]) for r in left if r["text"] is not None) and all(r["text_key"] == 1 for r in left)
