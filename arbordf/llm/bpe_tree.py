@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding as a reduction over a tree.
 
-``RankCoder`` holds a rank table (bytes -> rank). A byte string is encoded by halves: leaves of a few bytes by the merge
-loop, inner nodes by joining the two halves' ids. A join re-encodes the bytes of a window of ids around the border and
-lets the window grow until both of its edges are stable.
+``RankCoder`` holds a rank table (bytes -> rank). A byte string is encoded by halves down to single bytes; inner nodes join
+the two halves' ids. A join re-encodes the bytes of a window of ids around the border by the merge loop and lets the
+window grow until both of its edges are stable. Windows are a few bytes as a rule, so the loop never sees long input.
 
 Why that suffices: a sequence of ids is the encoding of its bytes exactly if every id encodes itself and every two
 neighbours (a, b) are *compatible*, i.e. bytes(a) + bytes(b) encode to [a, b]; merging takes the lowest rank first, and
@@ -12,8 +12,7 @@ the merge loop; the two edges are tested. Hence no id outside can change any mor
 would break the first condition; a piece that is itself a token is looked up before the merge loop, as rank-based
 coders do, and ids of unreachable tokens are never compatible with anything, which only widens windows.
 
-Decoding maps ids to byte strings. ``RankCoder.decode`` concatenates them up the tree; the query decodes whole blocks by
-one flat gather (``TextCoder.decode_block``), which gives the same bytes.
+Decoding maps ids to byte strings and concatenates neighbours up the tree (``RankCoder.decode``).
 
 Whole texts: each match of the pattern is encoded separately, and distinct parts of texts once per worker (see
 ``segments``). Null text counts as empty: no ids, the hash of no bytes. Repeated rows, null ids and extra columns are
@@ -32,9 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
-from .segments import PartEncoder, gather, pack, split_byte_level
-
-LEAF_BYTES = 24
+from .segments import PartEncoder, pack, split_byte_level
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,10 +41,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankCoder:
-    def __init__(self, ranks: dict[bytes, int], leaf: int = LEAF_BYTES):
-        self.ranks, self.leaf = ranks, max(leaf, 2)
+    #: Neighbours joined at once when decoding.
+    FAN = 16
+    #: Bytes of a half that is remembered.
+    SHORT = 8
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.compatible = lru_cache(maxsize=200_000)(self._compatible)
+        self.pair = lru_cache(maxsize=400_000)(self._pair)
+        self.short = lru_cache(maxsize=400_000)(self._tree)
 
     def merge(self, piece: bytes) -> list[int]:
         """The merge loop: join the neighbours of lowest rank, leftmost first, until none is left."""
@@ -67,19 +70,26 @@ class RankCoder:
                 pairs[i] = ranks.get(parts[i] + parts[i + 1])
         return [ranks[p] for p in parts]
 
-    def _compatible(self, a: int, b: int) -> bool:
-        return self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
+    def _pair(self, a: int, b: int) -> list[int] | None:
+        """Ids of the bytes of two tokens in a row; None if the two stay."""
+        out = self.merge(self.tokens[a] + self.tokens[b])
+        return None if out == [a, b] else out
+
+    def compatible(self, a: int, b: int) -> bool:
+        return self.pair(a, b) is None
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """Ids of the concatenated bytes of two encodings."""
         if not left or not right:
             return left or right
-        if self.compatible(left[-1], right[0]):
+        inner = self.pair(left[-1], right[0])
+        if inner is None:
             return left + right
         a, b = 1, 1  # ids of each side in the window
         while True:
             a, b = min(a, len(left)), min(b, len(right))
-            inner = self.merge(self.bytes_of(left[len(left) - a :]) + self.bytes_of(right[:b]))
+            if a > 1 or b > 1:
+                inner = self.merge(self.bytes_of(left[len(left) - a :]) + self.bytes_of(right[:b]))
             left_ok = a == len(left) or self.compatible(left[-a - 1], inner[0])
             right_ok = b == len(right) or self.compatible(inner[-1], right[b])
             if left_ok and right_ok:
@@ -95,24 +105,23 @@ class RankCoder:
         return [whole] if whole is not None else self._tree(piece)
 
     def _tree(self, piece: bytes) -> list[int]:
-        if len(piece) <= self.leaf:
-            return self.merge(piece)
-        # bottom-up, so that depth does not grow the stack
-        level = [self.merge(piece[i : i + self.leaf]) for i in range(0, len(piece), self.leaf)]
-        while len(level) > 1:
-            level = [self.join(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return level[0]
+        """The two halves' ids, joined; halves of a few bytes are remembered."""
+        if len(piece) < 2:
+            return [self.ranks[piece]] if piece else []
+        at = 1 << (len(piece) - 1).bit_length() - 1  # so that the halves of a run of one character are cut alike
+        half = self.short if len(piece) <= 2 * self.SHORT else self._tree
+        return self.join(half(piece[:at]), half(piece[at:]))
 
     def decode(self, ids: list[int]) -> bytes:
-        """Bytes of ids, concatenated up the tree."""
+        """Bytes of ids, concatenated up the tree, ``FAN`` neighbours at a time."""
         level = list(map(self.tokens.__getitem__, ids))
         while len(level) > 1:
-            level = [b"".join(level[i : i + 16]) for i in range(0, len(level), 16)]
+            level = [b"".join(level[i : i + self.FAN]) for i in range(0, len(level), self.FAN)]
         return level[0] if level else b""
 
 
 class TextCoder:
-    """Encodes blocks of whole texts under a pattern and decodes blocks of ids."""
+    """Encodes blocks of whole texts under a pattern and decodes ids."""
 
     def __init__(self, coder: RankCoder, pattern: str):
         import regex
@@ -122,17 +131,7 @@ class TextCoder:
         def encode(parts: list[str]) -> list[bytes]:
             return [pack([i for m in matches(p) for i in one(m.encode())]) for p in parts]
 
-        self.parts = PartEncoder(split_byte_level, encode)
-        size = max(coder.tokens, default=-1) + 1
-        lengths = np.array([len(coder.tokens.get(i, b"")) for i in range(size)], dtype=np.int64)
-        self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
-        self.bytes = np.frombuffer(b"".join(coder.tokens.get(i, b"") for i in range(size)), dtype=np.uint8)
-
-    def decode_block(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """Bytes of all ids, and where each text's bytes begin."""
-        sizes = self.lengths[ids]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return gather(self.bytes, self.starts[ids], sizes).tobytes(), ends[bounds]
+        self.parts, self.decode = PartEncoder(split_byte_level, encode), coder.decode
 
 
 _LOADED: dict[tuple[str, str], TextCoder] = {}
@@ -162,15 +161,13 @@ def _coded(docs: DataFrame, path: str, pattern: str, schema: str, out, kind) ->
         for b in it:
             doc_ids, texts = b.column(0), b.column(1)
             for first, ids, bounds in coder.parts.blocks(texts):
-                raw = ids.astype("<u4").tobytes()
-                text, ends = coder.decode_block(ids, bounds)
-                n = len(bounds) - 1
+                raw, n = ids.astype("<u4").tobytes(), len(bounds) - 1
                 yield pa.RecordBatch.from_arrays(
                     [
                         doc_ids.slice(first, n),
                         pa.array(np.diff(bounds).astype(np.int64)),
                         pa.array([out(raw[4 * bounds[i] : 4 * bounds[i + 1]]) for i in range(n)], kind),
-                        pa.array([out(text[ends[i] : ends[i + 1]]) for i in range(n)], kind),
+                        pa.array([out(coder.decode(ids[bounds[i] : bounds[i + 1]].tolist())) for i in range(n)], kind),
                     ],
                     names=names,
                 )

@@ -1,5 +1,7 @@
 import base64
+import hashlib
 import random
+import struct
 
 import pytest
 
@@ -20,9 +22,9 @@ def library(ranks):
 
 
 def test_tree_equals_library_on_long_pieces(ranks, library):
-    coder, rng = RankCoder(ranks, leaf=8), random.Random(3)
-    for alphabet in ("ab", "aeinrst", "=", "abcdefghijklmnopqrstuvwxyz", "éèàß漢字"):
-        for _ in range(60):
+    coder, rng = RankCoder(ranks), random.Random(3)
+    for alphabet in ("ab", "aeinrst", "=", " \n\t", "abcdefghijklmnopqrstuvwxyz", "éèàß漢字"):
+        for _ in range(100):
             piece = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 300)))
             assert coder.encode_piece(piece.encode()) == [i for m in [piece] for i in library._core_bpe.encode_single_piece(m.encode())]
 
@@ -32,13 +34,11 @@ def test_texts_equal_library_and_round_trip(ranks, library):
     alphabet = "ab C'sré.,12 \n\t    \x1c\x85Ö漢́ßΣİ\x1f"
     texts = ["", " ", "\n\n", "a", " a  b ", "x" * 5000] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     for first, ids, bounds in coder.parts.blocks(texts, 4000):
-        raw, ends = coder.decode_block(ids, bounds)
         for i in range(len(bounds) - 1):
             text = texts[first + i]
             own = ids[bounds[i] : bounds[i + 1]].tolist()
             assert own == library.encode_ordinary(text)
-            assert raw[ends[i] : ends[i + 1]] == text.encode()
-            assert coder.decode_block is not None
+            assert coder.decode(own) == text.encode()
 
 
 def test_decode_concatenates(ranks):
@@ -48,6 +48,36 @@ def test_decode_concatenates(ranks):
     assert coder.decode([]) == b""
 
 
+def test_digests_equal_library(spark, edge_docs, library):
+    """The query's columns by doc_id, null text among them; its path joins halves and decodes up the tree."""
+    from arbordf.llm import bpe_tree
+
+    got = bpe_tree.text_digests(edge_docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    want = []
+    for r in edge_docs.select("doc_id", "text").collect():
+        ids = library.encode_ordinary(r["text"] or "")
+        digests = [hashlib.sha256(x).hexdigest() for x in (struct.pack(f"<{len(ids)}I", *ids), (r["text"] or "").encode())]
+        want.append((r["doc_id"], len(ids), *digests))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_texts_go_through_the_tree(ranks):
+    calls = []
+
+    class Counting(RankCoder):
+        def join(self, left, right):
+            calls.append("join")
+            return super().join(left, right)
+
+        def merge(self, piece):
+            calls.append(len(piece))
+            return super().merge(piece)
+
+    coder = Counting(ranks)
+    assert coder.encode_piece(b" unwordlikewordness") and calls.count("join") >= 4
+    assert max(c for c in calls if c != "join") < len(b" unwordlikewordness")
+
+
 def test_rank_file(tmp_path):
     p = tmp_path / "r"
     p.write_bytes(base64.b64encode(b"a") + b" 0\n" + base64.b64encode(b"aa") + b" 1\n")
