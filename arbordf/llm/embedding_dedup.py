@@ -34,6 +34,8 @@ from .components import connected_components
 MAX_PIVOTS, MAX_LENGTHS, BLOCK = 1 << 15, 64, 256
 #: Pivots are less alike than this.
 PIVOT_COSINE = 0.7
+#: Bytes of all pivots together, dealt evenly to the lengths that have some: the bound of what is broadcast.
+PIVOT_BYTES = 64 << 20
 #: Separations tried in turn while fewer pivots than this stay.
 LEAST_PIVOTS, WIDER = 32, (0.8, 0.9, 0.95, 0.98)
 #: Share of made pairs at the least cosine that the index must hold, and their number.
@@ -209,7 +211,8 @@ def link_blocks(described: DataFrame, least: float, shared: int, block: int = BL
 def near_duplicates(vectors: DataFrame, least: float = 0.93, prefix: int = 8, shared: int = 2, per_root: float = 6.0) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row (see the module's notes).
 
-    Pivots: ``per_root`` times the root of the number of class vectors, from 32 to ``MAX_PIVOTS``, by hash of vec_id.
+    Pivots: ``per_root`` times the root of the number of class vectors, from 32 to ``MAX_PIVOTS`` and ``PIVOT_BYTES`` in all,
+    by hash of vec_id.
     """
     valid = materialize(valid_vectors(vectors), "vectors")
     same = ["label", "dim", "digest"]
@@ -220,7 +223,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, prefix: int = 8, sh
     sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(MAX_LENGTHS).collect()}
     pivots = {}
     for dim, n in sizes.items():
-        wanted = int(min(max(per_root * math.sqrt(n), 32), MAX_PIVOTS))
+        wanted = int(min(max(per_root * math.sqrt(n), 32), MAX_PIVOTS, max(PIVOT_BYTES // (8 * dim * len(sizes)), LEAST_PIVOTS)))
         rows = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("node", "digest")).limit(wanted).select("embedding").toArrow().column(0).to_pylist()
         sample = _unit(rows, dim)
         chosen = spread(sample)

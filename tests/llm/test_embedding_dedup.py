@@ -7,10 +7,40 @@ import numpy as np
 from arbordf.llm import embedding_dedup
 
 
+def collected(spark, rows):
+    table = [(i, np.asarray(e, np.float32).tolist(), 0, False, 5) for i, e in enumerate(rows)]
+    docs = spark.createDataFrame(table, "vec_id long, embedding array<float>, label int, kept boolean, node int")
+    return {r["vec_id"]: r for r in embedding_dedup.near_duplicates(docs).collect()}
+
+
 def found(spark, rows):
-    table = [(i, np.asarray(e, np.float32).tolist(), 0) for i, e in enumerate(rows)]
-    out = embedding_dedup.near_duplicates(spark.createDataFrame(table, "vec_id long, embedding array<float>, label int"))
-    return {r["vec_id"]: r["n_links"] for r in out.collect()}
+    return {k: r["n_links"] for k, r in collected(spark, rows).items()}
+
+
+def test_groups_equal_brute_force(spark):
+    """n_links, component_id and kept, copies and chains among them."""
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((30, 24))
+    rows = [c + s * rng.standard_normal(24) for c in centres for s in (0.0, 0.0, 0.1, 0.2, 0.3)]
+    v = np.asarray(rows, np.float32).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = v @ v.T >= 0.93
+    low = np.arange(len(rows))
+    while True:
+        new = np.array([low[near[i]].min() for i in range(len(rows))])
+        if (new == low).all():
+            break
+        low = new
+    got = collected(spark, rows)
+    assert [got[i]["n_links"] for i in range(len(rows))] == (near.sum(axis=1) - 1).tolist()
+    assert [got[i]["component_id"] for i in range(len(rows))] == low.tolist()
+    assert [got[i]["kept"] for i in range(len(rows))] == (low == np.arange(len(rows))).tolist()
+
+
+def test_one_vec_id_with_two_vectors(spark):
+    table = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.05], 0), (3, [0.05, 1.0], 0), (4, [-1.0, 0.0], 0), (4, [-1.0, 0.0], 0)]
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(table, "vec_id long, embedding array<float>, label int")).collect()
+    assert len(out) == 6 and {(r["vec_id"], r["component_id"]) for r in out} == {(1, 1), (2, 1), (3, 1), (4, 4)}
 
 
 def brute(rows):
