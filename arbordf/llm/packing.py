@@ -9,7 +9,8 @@ the pieces of its length. Ranks come from counts per writing task and length, so
 to one task.
 
 Null texts count as empty, and an empty text is a piece of one token (the end id). Repeated rows are packed each on its
-own; null doc_ids stay null; extra columns are ignored; an empty table gives no pieces.
+own; null doc_ids stay null; extra columns are ignored; an empty table gives no pieces. The string of a special token in
+a text becomes that token's id, as the library's plain call has it.
 """
 
 from __future__ import annotations

@@ -106,8 +106,9 @@ def gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
 class PartEncoder:
     """Texts to ids through ``split`` (texts to parts) and ``encode`` (parts to packed ids, each part on its own)."""
 
-    def __init__(self, split: Callable, encode: Callable[[list[str]], list[bytes]], limit: int = MEMO_PARTS):
-        self.split, self.encode, self.limit = split, encode, limit
+    def __init__(self, split: Callable, encode: Callable[[list[str]], list[bytes]], limit: int = MEMO_PARTS, whole: Callable[[str], bool] | None = None):
+        """``whole`` tells texts that must not be cut: they are encoded at once and not remembered."""
+        self.split, self.encode, self.limit, self.whole = split, encode, limit, whole
         self._reset()
 
     def _reset(self) -> None:
@@ -132,6 +133,21 @@ class PartEncoder:
 
     def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and where each text's ids begin (one more entry at the end)."""
+        uncut = [i for i, t in enumerate(texts) if self.whole(t)] if self.whole else []
+        if not uncut:
+            return self._encode_parts(texts)
+        rest = list(texts)
+        for i in uncut:
+            rest[i] = ""
+        ids, bounds = self._encode_parts(rest)
+        own = [np.frombuffer(x, dtype="<u4") for x in self.encode([texts[i] for i in uncut])]
+        sizes = np.diff(bounds)
+        sizes[uncut] = [len(x) for x in own]
+        at = bounds[uncut]
+        pieces = [x for a, z, own_ids in zip([0, *at], at, own) for x in (ids[a:z], own_ids)]
+        return np.concatenate([*pieces, ids[at[-1] :]]), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _encode_parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts, bounds = self.split(texts)
         coded = parts.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
@@ -163,16 +179,18 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
-_LOADED: dict[str, PartEncoder] = {}
+_LOADED: dict[tuple[str, bool], PartEncoder] = {}
 
 
-def library_encoder(path: str) -> PartEncoder:
-    """Encoder for a ``tokenizers`` JSON file, one per Python worker. Special-token strings count as ordinary text.
+def library_encoder(path: str, ordinary: bool = False) -> PartEncoder:
+    """Encoder for a ``tokenizers`` JSON file, one per Python worker.
 
+    The string of a special token in a text becomes its special id, as the library's plain call has it, or with
+    ``ordinary`` the pieces of ordinary text. A text with such a string in any case of letters goes to the library whole.
     A part of letters only, which normalising would not change, is one match of the pattern: the library's model
     takes it at once. All other parts go through the library's whole chain.
     """
-    if path not in _LOADED:
+    if (path, ordinary) not in _LOADED:
         import json
         import os
         from unicodedata import is_normalized
@@ -181,9 +199,12 @@ def library_encoder(path: str) -> PartEncoder:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        t.encode_special_tokens = ordinary
         with open(path, encoding="utf-8") as f:
-            byte_level = json.load(f)["pre_tokenizer"]["type"] == "ByteLevel"
+            settings = json.load(f)
+        byte_level = settings["pre_tokenizer"]["type"] == "ByteLevel"
+        added = [re.escape(x["content"]) for x in settings.get("added_tokens", [])]
+        whole = re.compile("|".join(added), re.IGNORECASE).search if added and not ordinary else None
         table, model = byte_alphabet(), t.model
         table = {b: c for b, c in table.items() if chr(b) != c}
 
@@ -199,5 +220,5 @@ def library_encoder(path: str) -> PartEncoder:
                 out[i] = pack(e.ids)
             return out
 
-        _LOADED[path] = PartEncoder(split_byte_level if byte_level else split_words, encode)
-    return _LOADED[path]
+        _LOADED[path, ordinary] = PartEncoder(split_byte_level if byte_level else split_words, encode, whole=whole)
+    return _LOADED[path, ordinary]

@@ -11,7 +11,8 @@ Layout of a written store (one folder):
 
 Shards follow ascending doc_id, rows of equal doc_id ascending text. Files are written by Spark's committer, so a lost
 or repeated task leaves nothing half-written. Null texts count as empty; an empty text has the end id alone; a null
-doc_id sorts first. Extra columns are ignored. An empty table gives an empty store.
+doc_id sorts first. Extra columns are ignored. An empty table gives an empty store. The string of a special token in a
+text becomes that token's id, as the library's plain call has it.
 """
 
 from __future__ import annotations

@@ -32,26 +32,49 @@ def test_crc_join():
     assert token_planes.crc32_join(zlib.crc32(a), 0, 0) == zlib.crc32(a)
 
 
-@pytest.mark.parametrize("chunk", [64, 1 << 16])
-def test_token_store(spark, edge_docs, tmp_path, chunk):
+@pytest.fixture(scope="session")
+def special_docs(spark, edge_docs):
+    """The edge cases, and texts with strings of special tokens."""
+    texts = ["a <|endoftext|> b", "<|startoftext|>", "x<|ENDOFTEXT|>y  \n", "<|endoftext|><|endoftext|>", "<| endoftext|>"]
+    more = spark.createDataFrame([(50 + i, t, "en", 1.5, True, 7, 3) for i, t in enumerate(texts)], edge_docs.schema)
+    return edge_docs.unionByName(more)
+
+
+def by_library(docs, name):
+    """Sorted (doc_id, ids with the end id) by the library's plain call."""
     from tokenizers import Tokenizer
 
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    rows = [(d, np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")) for d, text in pairs(docs)]
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+
+
+@pytest.mark.parametrize("chunk", [64, 1 << 16])
+def test_token_store(spark, special_docs, tmp_path, chunk):
     path = public_tokenizers.path("word_bpe_49k.json")
-    t = Tokenizer.from_file(path)
-    token_planes.write_store(edge_docs, f"file://{tmp_path}/s", path, chunk_ids=chunk)
-    got = sorted(((r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_planes.read_documents(spark, f"file://{tmp_path}/s").collect()))
-    sizes, crcs = [], []
-    for _, text in sorted(pairs(edge_docs), key=lambda x: (x[0] is not None, x[0] or 0)):
-        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
-        sizes.append(len(ids))
-        crcs.append(zlib.crc32(ids.tobytes()))
-    assert [g[0] for g in got] == [0, *np.cumsum([g[1] for g in got])[:-1].tolist()]
-    assert Counter(g[1:] for g in got) == Counter(zip(sizes, crcs))
-    every = token_planes.read_ids(spark, f"file://{tmp_path}/s", 0, sum(sizes))
-    assert len(every) == sum(sizes)
+    token_planes.write_store(special_docs, f"file://{tmp_path}/s", path, chunk_ids=chunk, plane="bit" if chunk == 64 else "byte")
+    got = [(r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_planes.read_documents(spark, f"file://{tmp_path}/s").collect()]
+    want = by_library(special_docs, "word_bpe_49k.json")
+    assert Counter(g[1:] for g in got) == Counter((d, len(x), zlib.crc32(x.tobytes())) for d, x in want)
+    got.sort()
+    assert [g[0] for g in got] == [0, *np.cumsum([g[2] for g in got])[:-1].tolist()]
+    assert [g[1] for g in got] == [d for d, _ in want]
+    total = sum(len(x) for _, x in want)
+    every = token_planes.read_ids(spark, f"file://{tmp_path}/s", 0, total)
+    assert len(every) == total
     assert (token_planes.read_ids(spark, f"file://{tmp_path}/s", 100, 50) == every[100:150]).all()
 
 
+def test_packed_pieces_equal_library(special_docs):
+    rows = packing.pack_documents(special_docs, public_tokenizers.path("byte_bpe_50k.json"), 256).collect()
+    want = Counter()
+    for d, ids in by_library(special_docs, "byte_bpe_50k.json"):
+        for at in range(0, len(ids), 256):
+            part = ids[at : at + 256]
+            want[d, at, len(part), zlib.crc32(part.tobytes()), len(ids)] += 1
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows) == want
+
+
 def test_empty_tables(spark, no_docs, tmp_path):
     token_planes.write_store(no_docs, f"file://{tmp_path}/e", public_tokenizers.path("word_bpe_49k.json"))
     assert token_planes.read_documents(spark, f"file://{tmp_path}/e").count() == 0
@@ -105,6 +128,12 @@ def test_jaccard_groups(edge_docs, k, percent):
     expected = brute_groups(pairs(edge_docs), k, percent)
     assert len(got) == edge_docs.count()
     assert all(r["component_id"] == expected.get(r["doc_id"]) for r in got)
+    sizes = Counter()
+    for d, t in pairs(edge_docs):
+        n = len(WORD.findall(t or ""))
+        words = WORD.findall((t or "").lower())
+        sizes[d, len({tuple(words[i : i + k]) for i in range(n - k + 1)}) if n >= k else int(n > 0)] += 1
+    assert Counter((r["doc_id"], r["n_shingles"]) for r in got) == sizes
     assert expected[2] == 0 and expected[7] == 6 and expected[4] == 4
 
 
@@ -239,8 +268,29 @@ def test_embeddings_against_brute_force(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(202, 208))
 
 
+def url_verdicts(spark, entries, captures, **how):
+    listed = spark.createDataFrame(entries, "pattern string, action string, effective string")
+    seen = spark.createDataFrame(captures, "key int, url string, fetched string")
+    return sorted((r["key"], r["n_active"], r["pattern"], r["verdict"]) for r in url_lists.filter_captures(seen.withColumn("pattern", seen.url), listed, **how).collect())
+
+
 def test_url_lists(spark):
-    entries = spark.createDataFrame([("a.com", "block", "2024-01-01"), ("a.com", "remove", "2024-03-01"), ("x.a.com", "allow", "2024-02-01"), ("a.com/p", "block", "2024-01-01"), (None, "block", "2024-01-01")], "pattern string, action string, effective string")
-    captures = [(1, "http://A.com/q", "2024-01-15"), (2, "http://a.com/q", "2024-03-01"), (3, "http://x.a.com/", "2024-02-10"), (4, "http://x.a.com/", "2024-01-10"), (5, "http://a.com/p?x", "2025-01-01"), (6, None, "2024-01-15"), (7, "nonsense", "2024-01-15"), (8, "http://a.com", None)]
-    got = {r["key"]: r["verdict"] for r in url_lists.filter_captures(spark.createDataFrame(captures, "key int, url string, fetched string"), entries).collect()}
-    assert got == {1: "block", 2: "none", 3: "allow", 4: "block", 5: "block", 6: "none", 7: "none", 8: "none"}
+    entries = [("a.com", "block", "2024-01-01"), ("a.com", "remove", "2024-03-01"), ("x.A.com", "allow", "2024-02-01"), ("a.com/p", "block", "2024-01-01"), (None, "block", "2024-01-01"), ("A.com/Ads/", "block", "2024-01-01"), ("a.com/p/q", "allow", "2024-01-01"), ("a.com", "shrug", "2023-01-01")]
+    captures = [
+        (1, "http://A.com/q", "2024-01-15"), (2, "http://a.com/q", "2024-03-01"), (3, "http://x.a.com/", "2024-02-10"), (4, "http://x.a.com/", "2024-01-10"), (5, "http://a.com/p?x", "2025-01-01"),
+        (6, None, "2024-01-15"), (7, "nonsense", "2024-01-15"), (8, "http://a.com", None), (9, "http://a.com/Ads/x", "2025-01-01"), (10, "http://a.com/ads/x", "2025-01-01"), (11, "http://me:pw@a.com:80/p/q/r", "2024-01-02"),
+        (12, "http://evil.com/@a.com", "2024-01-15"), (13, "http://a.com/pq", "2025-01-01"), (13, "http://a.com/pq", "2025-01-01"), (14, "http://ba.com/", "2024-01-15"),
+    ]
+    want = [
+        (1, 1, "a.com", "block"), (2, 0, None, "none"), (3, 2, "x.a.com", "allow"), (4, 1, "a.com", "block"), (5, 1, "a.com/p", "block"), (6, 0, None, "none"), (7, 0, None, "none"), (8, 0, None, "none"),
+        (9, 1, "a.com/Ads", "block"), (10, 0, None, "none"), (11, 3, "a.com/p/q", "allow"), (12, 0, None, "none"), (13, 0, None, "none"), (13, 0, None, "none"), (14, 0, None, "none"),
+    ]
+    assert url_verdicts(spark, entries, captures) == want
+    assert url_verdicts(spark, [], captures) == [(k, 0, None, "none") for k, *_ in want]
+    assert url_verdicts(spark, entries, []) == []
+
+
+def test_url_filter_runs_no_python(spark, tmp_path):
+    spark.createDataFrame([(1, "http://a.com/x", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    plan = url_lists.op3_url_lists(spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
