@@ -19,11 +19,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session leaves it unset (local tests) a temporary folder is chosen once and stored in the session,
-    so later calls agree.
+    Where a local session leaves it unset (tests) a temporary folder is chosen once and stored in the session, so later
+    calls agree. On a cluster executors would not see such a folder: there the setting is needed.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="arbordf-")
         spark.conf.set("spark.checkpoint.dir", base)
     root = f"{base.rstrip('/')}/arbordf-{spark.sparkContext.applicationId}"
