@@ -13,6 +13,7 @@ from .plans.nodes import NodeDocuments
 from .plans.parser import parse
 from .plans.rows import RowDocuments
 from .plans.stylesheet import Stylesheet
+from .sources.kept import kept
 from .sources.memo import Memo
 from .sources.messages import localize, localize_plural, message_frame, parse_messages
 from .sources.nest import Level, nest
@@ -27,7 +28,7 @@ ORDER = {
     "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"],
     "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "events": ["event_id"], "pages": ["page_id"], "documents": ["doc_id"],
 }
-KEYS = {"orders-of": ("orders", "o_custkey"), "nation": ("nation", "n_nationkey"), "customers-of": ("customer", "c_nationkey"), "region": ("region", "r_regionkey")}
+KEYS = {"orders-of": ("orders", "o_custkey"), "nation": ("nation", "n_nationkey"), "customers-of": ("customer", "c_nationkey"), "region": ("region", "r_regionkey"), "by-segment": ("customer", "c_mktsegment")}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,32 +125,28 @@ rows_query("position_filter", "/customer/row[position() <= 10 or position() = la
 rows_query("sort_topk", "/orders/row", {"o_orderkey": "o_orderkey", "o_totalprice": "o_totalprice"}, "select o_orderkey, o_totalprice from orders order by o_orderpriority, o_totalprice desc, o_orderkey limit 10", sort=[("o_orderpriority", "text", "ascending"), ("o_totalprice", "number", "descending")], limit=10)
 
 
-@query("""select c_custkey, first_key, last_key, n::bigint as n from (
-  select o_custkey as c_custkey, min_by(o_orderkey, o_orderkey) as first_key, max_by(o_orderkey, o_orderkey) as last_key, count(*) as n from orders group by 1)""")
-def first_last_per_parent(spark, sf_dir):
-    """``order[1]`` and ``order[last()]`` of each customer: positions per parent."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    o = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("pos"), F.count("*").over(Window.partitionBy("o_custkey")).alias("n"))
-    ends = o.filter("pos = 1 or pos = n").groupBy(F.col("o_custkey").alias("c_custkey"))
-    return ends.agg(F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"), F.max("n").alias("n"))
-
-
+rows_query(
+    "first_last_per_parent", "/customer/row[key('orders-of', c_custkey)]",
+    {"c_custkey": "c_custkey", "first_key": "key('orders-of', c_custkey)[1]/o_orderkey", "last_key": "key('orders-of', c_custkey)[last()]/o_orderkey", "second_key": "key('orders-of', c_custkey)[2]/o_orderkey", "n": "count(key('orders-of', c_custkey))"},
+    """select c_custkey, first_key, last_key, second_key, n::bigint as n from (select o_custkey as c_custkey, min(o_orderkey) as first_key, max(o_orderkey) as last_key,
+       list_sort(list(o_orderkey))[2] as second_key, count(*) as n from orders group by o_custkey)""",
+    counted("first_key", "last_key", "second_key", "n"),
+)
 _BY_CUSTOMER = "over (partition by o_custkey order by o_orderkey"
-
-
-@query(f"select o_orderkey, lag(o_totalprice) {_BY_CUSTOMER}) as before, lead(o_totalprice) {_BY_CUSTOMER}) as after from orders")
-def sibling_neighbours(spark, sf_dir):
-    """``preceding-sibling::order[1]`` and ``following-sibling::order[1]`` as windows."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    return _table(spark, sf_dir, "orders").select("o_orderkey", F.lag("o_totalprice").over(w).alias("before"), F.lead("o_totalprice").over(w).alias("after"))
-
-
-@query(f"select o_orderkey, round(coalesce(sum(o_totalprice) {_BY_CUSTOMER} rows between unbounded preceding and 1 preceding), 0), 2) as total from orders")
-def running_sum(spark, sf_dir):
-    """``sum(preceding-sibling::order/@o_totalprice)`` as a running frame."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
-    return _table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.coalesce(F.sum("o_totalprice").over(w), F.lit(0.0)), 2).alias("total"))
-
+_SAME = "[o_custkey = current()/o_custkey]"
+rows_query(
+    "sibling_neighbours", "/orders/row", {"o_orderkey": "o_orderkey", "before": f"preceding-sibling::row{_SAME}[1]/o_totalprice", "after": f"following-sibling::row{_SAME}[1]/o_totalprice", "second": f"preceding-sibling::row{_SAME}[2]/o_orderstatus"},
+    f"select o_orderkey, lag(o_totalprice) {_BY_CUSTOMER}) as before, lead(o_totalprice) {_BY_CUSTOMER}) as after, lag(o_orderstatus, 2) {_BY_CUSTOMER}) as second from orders",
+)
+rows_query(
+    "sibling_neighbours_all", "/orders/row[o_orderstatus = 'F']", {"o_orderkey": "o_orderkey", "before": "preceding-sibling::row[1]/o_totalprice", "after": "following-sibling::row[1]/o_custkey", "earlier": "count(preceding-sibling::row/o_custkey)", "later": "sum(following::row/o_custkey)"},
+    """select o_orderkey, before, after::double as after, earlier::double as earlier, coalesce(later, 0)::double as later from (select o_orderkey, o_orderstatus, lag(o_totalprice) over w as before, lead(o_custkey) over w as after,
+       row_number() over w - 1 as earlier, sum(o_custkey) over (order by o_orderkey rows between 1 following and unbounded following) as later from orders window w as (order by o_orderkey)) where o_orderstatus = 'F'""",
+)
+rows_query(
+    "running_sum", "/orders/row", {"o_orderkey": "o_orderkey", "total": f"sum(preceding-sibling::row{_SAME}/o_totalprice)"},
+    f"select o_orderkey, round(coalesce(sum(o_totalprice) {_BY_CUSTOMER} rows between unbounded preceding and 1 preceding), 0), 2) as total from orders", rounded("total"),
+)
 
 # joins, keys, aggregates, sets
 
@@ -167,57 +164,54 @@ rows_query("aggregate_absolute", "/region/row", {"r_regionkey": "r_regionkey", "
 rows_query("union_dedupe", "/orders/row[o_orderstatus='F'] | /orders/row[o_totalprice > 300000]", {"o_orderkey": "o_orderkey"}, "select o_orderkey from orders where o_orderstatus = 'F' union select o_orderkey from orders where o_totalprice > 300000")
 
 
-@query("select n_name, c_custkey, c_name from nation join customer on c_nationkey = n_nationkey where n_regionkey = 1")
-def value_join_current(spark, sf_dir):
-    """``/customer/row[c_nationkey = current()/n_nationkey]`` for each nation of a region: decorrelated to an equi-join."""
-    n = _rows(spark, sf_dir).select("/nation/row[n_regionkey = 1]", {"n_name": "n_name", "n_nationkey": "n_nationkey"})
-    c = _rows(spark, sf_dir).select("/customer/row", {"c_nationkey": "c_nationkey", "c_custkey": "c_custkey", "c_name": "c_name"})
-    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "c_custkey", "c_name")
-
-
-@query("select o_orderkey from orders where o_orderstatus = 'F' intersect select o_orderkey from orders where o_totalprice > 300000")
-def intersect_paths(spark, sf_dir):
-    """``$a[count(.|$b) = count($b)]`` is a semi-join."""
-    d = _rows(spark, sf_dir)
-    a, b = d.select("/orders/row[o_orderstatus='F']", {"o_orderkey": "o_orderkey"}), d.select("/orders/row[o_totalprice > 300000]", {"o_orderkey": "o_orderkey"})
-    return a.join(b, "o_orderkey", "left_semi")
-
-
-@query("select o_orderkey from orders where o_orderstatus = 'F' except select o_orderkey from orders where o_totalprice > 300000")
-def except_paths(spark, sf_dir):
-    d = _rows(spark, sf_dir)
-    a, b = d.select("/orders/row[o_orderstatus='F']", {"o_orderkey": "o_orderkey"}), d.select("/orders/row[o_totalprice > 300000]", {"o_orderkey": "o_orderkey"})
-    return a.join(b, "o_orderkey", "left_anti")
+def each_query(name: str, outer: str, inner: str, columns: dict, sql: str, post=None) -> None:
+    """Register a row path inside another one's loop."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = _rows(spark, sf_dir).for_each(outer, inner, columns)
+        return post(out) if post else out
 
-@query("select min(o_orderkey) as o_orderkey, o_custkey from orders group by o_custkey")
-def distinct_first(spark, sf_dir):
-    """``row[not(o_custkey = preceding::row/o_custkey)]``: the first row of each value, one aggregate."""
-    return _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey")).select("o_orderkey", "o_custkey")
+    QUERIES[name], ORACLES[name] = run, sql
 
 
-@query("select c_mktsegment, count(*) as n, round(sum(c_acctbal), 2) as total, min(c_custkey) as first_key from customer group by 1")
-def grouping_by_key(spark, sf_dir):
-    """Grouping by ``generate-id(.) = generate-id(key(...)[1])``: a plain aggregate."""
-    return _table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"), F.min("c_custkey").alias("first_key"))
+each_query("value_join_current", "/nation/row[n_regionkey = 1]", "/customer/row[c_nationkey = current()/n_nationkey]", {"n_name": "current()/n_name", "c_custkey": "c_custkey", "c_name": "c_name"}, "select n_name, c_custkey, c_name from nation join customer on c_nationkey = n_nationkey where n_regionkey = 1")
+each_query(
+    "current_theta", "/region/row", "/nation/row[n_regionkey != current()/r_regionkey and n_nationkey < 9 and string-length(n_name) > string-length(current()/r_name)]", {"r_name": "current()/r_name", "n_name": "n_name"},
+    "select r_name, n_name from region join nation on n_regionkey <> r_regionkey and n_nationkey < 9 and length(n_name) > length(r_name)",
+)
+rows_query("intersect_paths", "/orders/row[o_orderstatus='F'][count(. | /orders/row[o_totalprice > 300000]) = count(/orders/row[o_totalprice > 300000])]", {"o_orderkey": "o_orderkey"}, "select o_orderkey from orders where o_orderstatus = 'F' intersect select o_orderkey from orders where o_totalprice > 300000")
+rows_query("except_paths", "/orders/row[o_orderstatus='F'][count(. | /orders/row[o_totalprice > 300000]) != count(/orders/row[o_totalprice > 300000])]", {"o_orderkey": "o_orderkey"}, "select o_orderkey from orders where o_orderstatus = 'F' except select o_orderkey from orders where o_totalprice > 300000")
+rows_query("distinct_first", "/orders/row[not(o_custkey = preceding::row/o_custkey)]", {"o_orderkey": "o_orderkey", "o_custkey": "o_custkey"}, "select min(o_orderkey) as o_orderkey, o_custkey from orders group by o_custkey")
+rows_query("distinct_filtered", "/orders/row[o_orderstatus = 'F'][not(o_custkey = preceding::row/o_custkey)]", {"o_orderkey": "o_orderkey"}, "select o_orderkey from orders where o_orderstatus = 'F' and o_orderkey in (select min(o_orderkey) from orders group by o_custkey)")
+rows_query(
+    "grouping_by_key", "/customer/row[generate-id(.) = generate-id(key('by-segment', c_mktsegment)[1])]",
+    {"c_mktsegment": "c_mktsegment", "n": "count(key('by-segment', c_mktsegment))", "total": "sum(key('by-segment', c_mktsegment)/c_acctbal)", "first_key": "c_custkey"},
+    "select c_mktsegment, count(*) as n, round(sum(c_acctbal), 2) as total, min(c_custkey) as first_key from customer group by 1", lambda df: counted("n")(rounded("total")(df)),
+)
+rows_query(
+    "row_text_document", "document('nation')/nation/row[n_regionkey = document('region')/region/row[r_name = 'ASIA']/r_regionkey]",
+    {"n_nationkey": "n_nationkey", "size": "string-length()", "text": "normalize-space()", "region": "exsl:node-set(key('region', n_regionkey))/r_name", "own": "string(.)"},
+    """select n_nationkey, length(t)::double as size, trim(regexp_replace(t, '\s+', ' ', 'g')) as text, 'ASIA' as region, t as own from (select n_nationkey, {0} as t from nation where n_regionkey = (select r_regionkey from region where r_name = 'ASIA'))"""
+    .replace("{0}", "n_nationkey::varchar || n_name || n_regionkey::varchar"),
+)
 
 
 # trees: nested tables, all axes
 
 
-def _tree(spark: SparkSession, sf_dir: str, orders: bool = True) -> NodeDocuments:
+def _tree(spark: SparkSession, sf_dir: str) -> NodeDocuments:
     t = partial(_table, spark, sf_dir)
     order = Level("order", t("orders"), "o_orderkey", "o_custkey", ["o_orderkey", "o_totalprice"])
-    customer = Level("customer", t("customer"), "c_custkey", "c_nationkey", ["c_custkey", "c_acctbal"], [order] if orders else [])
+    customer = Level("customer", t("customer"), "c_custkey", "c_nationkey", ["c_custkey", "c_acctbal"], [order])
     supplier = Level("supplier", t("supplier"), "s_suppkey", "s_nationkey", ["s_suppkey"])
     nation = Level("nation", t("nation"), "n_nationkey", "n_regionkey", ["n_nationkey", "n_name"], [supplier, customer])
-    # every step reads the node table again: keep it
-    return NodeDocuments(nest(Level("region", t("region"), "r_regionkey", None, ["r_name"], [nation])).persist(), {"c": ("customer", "@c_custkey")})
+    nodes = kept(spark, ("tree", sf_dir), lambda: nest(Level("region", t("region"), "r_regionkey", None, ["r_name"], [nation])))
+    return NodeDocuments(nodes, {"c": ("customer", "@c_custkey")})
 
 
-def tree_query(name: str, path: str, columns: dict[str, str], sql: str, post=None, orders: bool = True) -> None:
+def tree_query(name: str, path: str, columns: dict[str, str], sql: str, post=None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = _tree(spark, sf_dir, orders)
+        d = _tree(spark, sf_dir)
         out = d.evaluate(d.find(path), columns).drop("node_id", "doc_id")
         return post(out) if post else out
 
@@ -227,30 +221,31 @@ def tree_query(name: str, path: str, columns: dict[str, str], sql: str, post=Non
 _PRE = """with region_nodes as (select r_regionkey as doc, n_nationkey, n_name from region join nation on n_regionkey = r_regionkey),
 k as (select doc, [1, n_nationkey] as path, 'nation' as name, n_nationkey::bigint as id, n_nationkey from region_nodes
   union all select doc, [1, n_nationkey, 1, s_suppkey], 'supplier', s_suppkey, n_nationkey from region_nodes join supplier on s_nationkey = n_nationkey
-  union all select doc, [1, n_nationkey, 2, c_custkey], 'customer', c_custkey, n_nationkey from region_nodes join customer on c_nationkey = n_nationkey)
+  union all select doc, [1, n_nationkey, 2, c_custkey], 'customer', c_custkey, n_nationkey from region_nodes join customer on c_nationkey = n_nationkey
+  union all select doc, [1, n_nationkey, 2, c_custkey, 1, o_orderkey], 'order', o_orderkey, n_nationkey from region_nodes join customer on c_nationkey = n_nationkey join orders on o_custkey = c_custkey)
 """
 tree_query("axis_child", "/region/nation", {"name": "@n_name"}, "select n_name as name from nation")
-tree_query("axis_child_any", "/region/nation/*", {"name": "name()"}, "select 'customer' as name from customer union all select 'supplier' from supplier", orders=False)
+tree_query("axis_child_any", "/region/nation/*", {"name": "name()"}, "select 'customer' as name from customer union all select 'supplier' from supplier")
 tree_query("axis_descendant", "/region/descendant::order", {"key": "@o_orderkey"}, "select o_orderkey::varchar as key from orders join customer on c_custkey = o_custkey")
 tree_query("axis_double_slash", "//order[@o_totalprice > 400000]", {"key": "@o_orderkey"}, "select o_orderkey::varchar as key from orders join customer on c_custkey = o_custkey where o_totalprice > 400000")
-tree_query("axis_descendant_or_self", "/region/descendant-or-self::*", {"name": "name()"}, "select 'region' as name from region union all select 'nation' from nation union all select 'customer' from customer union all select 'supplier' from supplier", orders=False)
-tree_query("axis_self", "/region/nation/self::nation", {"name": "@n_name"}, "select n_name as name from nation", orders=False)
-tree_query("axis_parent", "//customer[@c_acctbal < 0]/..", {"name": "@n_name"}, "select n_name as name from nation where n_nationkey in (select c_nationkey from customer where c_acctbal < 0)", orders=False)
+tree_query("axis_descendant_or_self", "/region/descendant-or-self::*", {"name": "name()"}, "select 'region' as name from region union all select 'nation' from nation union all select 'customer' from customer union all select 'supplier' from supplier union all select 'order' from orders")
+tree_query("axis_self", "/region/nation/self::nation", {"name": "@n_name"}, "select n_name as name from nation")
+tree_query("axis_parent", "//customer[@c_acctbal < 0]/..", {"name": "@n_name"}, "select n_name as name from nation where n_nationkey in (select c_nationkey from customer where c_acctbal < 0)")
 tree_query("axis_ancestor", "//order[@o_totalprice > 400000]/ancestor::nation", {"name": "@n_name"}, "select n_name as name from nation where n_nationkey in (select c_nationkey from customer join orders on o_custkey = c_custkey where o_totalprice > 400000)")
-tree_query("axis_ancestor_or_self", "//supplier[@s_suppkey = 3]/ancestor-or-self::*", {"name": "name()"}, "select unnest(['region', 'nation', 'supplier']) as name", orders=False)
-tree_query("axis_attribute_any", "/region/nation/@*", {"v": "string(.)"}, "select n_nationkey::varchar as v from nation union all select n_name from nation", orders=False)
-tree_query("axis_root", "/", {"n": "count(region)"}, "select 1.0::double as n from region", orders=False)
-tree_query("axis_preceding_sibling", "/region/nation[@n_nationkey = 7]/preceding-sibling::nation", {"name": "@n_name"}, "select n_name as name from nation where n_regionkey = (select n_regionkey from nation where n_nationkey = 7) and n_nationkey < 7", orders=False)
-tree_query("axis_following_sibling", "/region/nation[@n_nationkey = 7]/following-sibling::nation", {"name": "@n_name"}, "select n_name as name from nation where n_regionkey = (select n_regionkey from nation where n_nationkey = 7) and n_nationkey > 7", orders=False)
-tree_query("axis_preceding", "//customer[@c_custkey = 40]/preceding::*", {"name": "name()", "id": "string(@*[1])"}, _PRE + """select name, id::varchar as id from k, (select doc as d, path as p, n_nationkey as n from k where name = 'customer' and id = 40) where doc = d and path < p and not (name = 'nation' and n_nationkey = n)""", orders=False)
-tree_query("axis_following", "//supplier[@s_suppkey = 5]/following::*", {"name": "name()", "id": "string(@*[1])"}, _PRE + """select name, id::varchar as id from k, (select doc as d, path as p from k where name = 'supplier' and id = 5) where doc = d and path > p""", orders=False)
-tree_query("positional_per_parent", "/region/nation/customer[2]", {"key": "@c_custkey"}, "select c_custkey::varchar as key from (select c_custkey, row_number() over (partition by c_nationkey order by c_custkey) as p from customer) where p = 2", orders=False)
-tree_query("positional_last", "/region/nation/customer[last()]", {"key": "@c_custkey"}, "select max(c_custkey)::varchar as key from customer group by c_nationkey", orders=False)
+tree_query("axis_ancestor_or_self", "//supplier[@s_suppkey = 3]/ancestor-or-self::*", {"name": "name()"}, "select unnest(['region', 'nation', 'supplier']) as name")
+tree_query("axis_attribute_any", "/region/nation/@*", {"v": "string(.)"}, "select n_nationkey::varchar as v from nation union all select n_name from nation")
+tree_query("axis_root", "/", {"n": "count(region)"}, "select 1.0::double as n from region")
+tree_query("axis_preceding_sibling", "/region/nation[@n_nationkey = 7]/preceding-sibling::nation", {"name": "@n_name"}, "select n_name as name from nation where n_regionkey = (select n_regionkey from nation where n_nationkey = 7) and n_nationkey < 7")
+tree_query("axis_following_sibling", "/region/nation[@n_nationkey = 7]/following-sibling::nation", {"name": "@n_name"}, "select n_name as name from nation where n_regionkey = (select n_regionkey from nation where n_nationkey = 7) and n_nationkey > 7")
+tree_query("axis_preceding", "//customer[@c_custkey = 40]/preceding::*", {"name": "name()", "id": "string(@*[1])"}, _PRE + """select name, id::varchar as id from k, (select doc as d, path as p, n_nationkey as n from k where name = 'customer' and id = 40) where doc = d and path < p and not (name = 'nation' and n_nationkey = n)""")
+tree_query("axis_following", "//supplier[@s_suppkey = 5]/following::*", {"name": "name()", "id": "string(@*[1])"}, _PRE + """select name, id::varchar as id from k, (select doc as d, path as p from k where name = 'supplier' and id = 5) where doc = d and path > p""")
+tree_query("positional_per_parent", "/region/nation/customer[2]", {"key": "@c_custkey"}, "select c_custkey::varchar as key from (select c_custkey, row_number() over (partition by c_nationkey order by c_custkey) as p from customer) where p = 2")
+tree_query("positional_last", "/region/nation/customer[last()]", {"key": "@c_custkey"}, "select max(c_custkey)::varchar as key from customer group by c_nationkey")
 tree_query("tree_semi", "//customer[order/@o_totalprice > 450000]", {"key": "@c_custkey"}, "select c_custkey::varchar as key from customer where c_custkey in (select o_custkey from orders where o_totalprice > 450000)")
 tree_query("tree_anti", "//customer[not(order)]", {"key": "@c_custkey"}, "select c_custkey::varchar as key from customer where c_custkey not in (select o_custkey from orders)")
-tree_query("tree_union", "//nation | //region", {"name": "name()"}, "select 'nation' as name from nation union all select 'region' from region", orders=False)
-tree_query("tree_key", "/region/nation[key('c', '40')]", {"name": "@n_name"}, "select n_name as name from nation where n_regionkey = (select n_regionkey from nation join customer on c_nationkey = n_nationkey where c_custkey = 40)", orders=False)
-tree_query("tree_equal_sets", "/region/nation[supplier/@s_suppkey = customer/@c_custkey]", {"name": "@n_name"}, "select n_name as name from nation where exists (select 1 from supplier join customer on s_suppkey = c_custkey and c_nationkey = s_nationkey where s_nationkey = n_nationkey)", orders=False)
+tree_query("tree_union", "//nation | //region", {"name": "name()"}, "select 'nation' as name from nation union all select 'region' from region")
+tree_query("tree_key", "/region/nation[key('c', '40')]", {"name": "@n_name"}, "select n_name as name from nation where n_regionkey = (select n_regionkey from nation join customer on c_nationkey = n_nationkey where c_custkey = 40)")
+tree_query("tree_equal_sets", "/region/nation[supplier/@s_suppkey = customer/@c_custkey]", {"name": "@n_name"}, "select n_name as name from nation where exists (select 1 from supplier join customer on s_suppkey = c_custkey and c_nationkey = s_nationkey where s_nationkey = n_nationkey)")
 tree_query(
     "descendant_count_sum", "/region", {"name": "@r_name", "orders": "count(.//order)", "total": "sum(.//order/@o_totalprice)", "nations": "count(nation)"},
     """select r_name as name, count(o_orderkey)::double as orders, round(coalesce(sum(o_totalprice), 0), 2) as total, count(distinct n_nationkey)::double as nations from region join nation on n_regionkey = r_regionkey
@@ -261,7 +256,7 @@ tree_query(
 @query("select 'region/nation/' || name as path, count(*) as n from (select 'customer' as name from customer union all select 'supplier' from supplier) group by 1")
 def ancestor_path(spark, sf_dir):
     """Names of ``ancestor-or-self::*`` joined in document order."""
-    d = _tree(spark, sf_dir, False)
+    d = _tree(spark, sf_dir)
     start = d.find("//customer | //supplier").withColumn("oid", F.col("node_id"))
     up = d.navigate(start, parse("ancestor-or-self::*"))
     paths = up.groupBy("doc_id", "oid").agg(F.expr("listagg(name, '/') within group (order by pre)").alias("path"))
@@ -282,7 +277,7 @@ def serialize_subtree(spark, sf_dir):
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> NodeDocuments:
-    return NodeDocuments(shred(_table(spark, sf_dir, "pages"), "page_id", "html", "html").persist())
+    return NodeDocuments(kept(spark, ("pages", sf_dir), lambda: shred(_table(spark, sf_dir, "pages"), "page_id", "html", "html")))
 
 
 def _decoded(expr: str) -> str:
@@ -350,12 +345,12 @@ style_query("style_key_number", f'<xsl:key name="k" match="nation" use="@key mod
 
 @query("select c_custkey, c_mktsegment in ('BUILDING', 'MACHINERY') as may_edit from customer")
 def rights(spark, sf_dir):
-    """Actions of a user's groups, as a join of groups and rights."""
-    grants = spark.createDataFrame([("g1", "edit:BUILDING"), ("g1", "edit:MACHINERY"), ("g2", "edit:FURNITURE")], "grp string, action string")
-    mine = spark.createDataFrame([("g1",)], "grp string")
-    actions = grants.join(mine, "grp", "left_semi").select(F.col("action").alias("_a")).distinct().withColumn("may", F.lit(True))
-    c = _table(spark, sf_dir, "customer")
-    return c.join(actions, F.concat(F.lit("edit:"), "c_mktsegment") == F.col("_a"), "left").select("c_custkey", F.coalesce("may", F.lit(False)).alias("may_edit"))
+    """Actions of a user's groups, asked for at every row."""
+    e = Engine(spark)
+    e.define_rights("lib", "g1", ["edit:BUILDING", "edit:MACHINERY"])
+    e.define_rights("lib", "g2", ["edit:FURNITURE"])
+    e.set_user("lib", ["g1"])
+    return e.rows({"customer": _table(spark, sf_dir, "customer")}, ORDER).select("/customer/row", {"c_custkey": "c_custkey", "may_edit": "chk:check_rights(concat('edit:', c_mktsegment))"})
 
 
 @query("select c_custkey from customer where c_mktsegment = 'BUILDING'")
@@ -418,21 +413,16 @@ def hourly_windows(spark, sf_dir):
     return windowed_counts(_table(spark, sf_dir, "events"), "ts", "10 minutes", "1 hour", None, ["event_type"]).select("event_type", F.col("window.start").alias("hour"), "n")
 
 
-@query("select o_orderkey, case when o_totalprice < 100000 then 'low' when o_totalprice < 300000 then 'mid' else 'high' end as band from orders")
-def choose_bands(spark, sf_dir):
-    """``choose`` over scalars stays a CASE."""
-    p = F.col("o_totalprice")
-    return _table(spark, sf_dir, "orders").select("o_orderkey", F.when(p < 100000, "low").when(p < 300000, "mid").otherwise("high").alias("band"))
-
-
-@query("""select r_name, n_name, count(o_orderkey) as orders, round(coalesce(sum(o_totalprice), 0), 2) as total from region join nation on n_regionkey = r_regionkey
-  left join customer on c_nationkey = n_nationkey left join orders on o_custkey = c_custkey group by 1, 2""")
-def grouped_report(spark, sf_dir):
-    """Group, sum and sort over the hierarchy: aggregate the large table first, then join the small ones."""
-    per = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("s"))
-    c = _table(spark, sf_dir, "customer").join(per, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_nationkey").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orders"), F.sum("s").alias("total"))
-    n = _table(spark, sf_dir, "nation").join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(_table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
-    return n.select("r_name", "n_name", F.coalesce("orders", F.lit(0)).alias("orders"), F.round(F.coalesce("total", F.lit(0.0)), 2).alias("total")).orderBy("r_name", F.desc("total"))
+rows_query(
+    "choose_bands", "/orders/row", {"o_orderkey": "o_orderkey", "band": [("o_totalprice < 100000", "'low'"), ("o_totalprice < 300000", "'mid'"), (None, "'high'")]},
+    "select o_orderkey, case when o_totalprice < 100000 then 'low' when o_totalprice < 300000 then 'mid' else 'high' end as band from orders",
+)
+_THEIRS = "key('orders-of', key('customers-of', n_nationkey)/c_custkey)"
+each_query(
+    "grouped_report", "/region/row", "/nation/row[n_regionkey = current()/r_regionkey]", {"r_name": "current()/r_name", "n_name": "n_name", "orders": f"count({_THEIRS})", "total": f"sum({_THEIRS}/o_totalprice)"},
+    """select r_name, n_name, count(o_orderkey) as orders, round(coalesce(sum(o_totalprice), 0), 2) as total from region join nation on n_regionkey = r_regionkey
+  left join customer on c_nationkey = n_nationkey left join orders on o_custkey = c_custkey group by 1, 2""", lambda df: counted("orders")(rounded("total")(df)).orderBy("r_name", F.desc("total")),
+)
 
 
 __all__ = ["ORACLES", "QUERIES", "counted", "num", "string"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 REVERSE_AXES = {"parent", "ancestor", "ancestor-or-self", "preceding", "preceding-sibling"}
+SIBLING_AXES = {"preceding-sibling", "following-sibling", "preceding", "following"}
 AXES = REVERSE_AXES | {"child", "descendant", "descendant-or-self", "self", "attribute", "following", "following-sibling"}
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import REGISTRY, Value, boolean, format_number, num, string
 from ..functions.values import compare, divide, modulo, to_number
-from ..operators.axes import axis_step, proximity, test_condition
+from ..operators.axes import BLOCK, axis_step, blocked, proximity, test_condition
 from ..operators.schema import NODE_COLUMNS
 from .ast import Bin, Call, Neg, Num, Path, Step, Str, UnsupportedPath, Var, calls, fuse, positional
 from .parser import parse
@@ -87,12 +87,29 @@ class NodeDocuments:
         if step.axis == "self":
             now = frame.filter(test_condition(step.test, "self")).withColumn("c_node_id", F.col("node_id"))
         else:
-            now = axis_step(frame, self.nodes, step.axis, step.test)
+            if step.axis.endswith("-sibling") and step.predicates[:1] == (Num(1.0),):
+                now = self.neighbour(frame, step)
+                return self.predicates(now, step.predicates[1:], proximity(step.axis)).select("oid", *NODE_COLUMNS).dropDuplicates(["oid", "doc_id", "node_id"])
+            now = axis_step(frame, self.nodes, step.axis, step.test, any(map(positional, step.predicates)))
         now = self.predicates(now, step.predicates, proximity(step.axis))
         if step.axis in ("child", "attribute", "self"):  # a node has one parent: no duplicates arise
             return now.select("oid", *NODE_COLUMNS)
         return now.select("oid", *NODE_COLUMNS).dropDuplicates(["oid", "doc_id", "node_id"])
 
+    def neighbour(self, frame: DataFrame, step: Step) -> DataFrame:
+        """The nearest sibling of each context row: contexts and siblings of a parent in one line, each context takes the
+        last (or next) sibling it passes. One window per parent, no pairs."""
+        keys = ["doc_id", "parent_id"]
+        mine = frame.filter("kind != 'attribute'").select(*keys, "pre", F.lit(None).cast("long").alias("_found"), F.struct("oid", "node_id").alias("_for"))
+        other = self.nodes.filter(test_condition(step.test, step.axis) & (F.col("kind") != "attribute")).select(*keys, "pre", F.col("pre").alias("_found"), F.lit(None).cast("struct<oid:bigint,node_id:bigint>").alias("_for"))
+        line = Window.partitionBy(*keys).orderBy("pre")
+        # range frames leave out the context's own place
+        reach = line.rangeBetween(Window.unboundedPreceding, -1) if step.axis == "preceding-sibling" else line.rangeBetween(1, Window.unboundedFollowing)
+        nearest = F.max("_found") if step.axis == "preceding-sibling" else F.min("_found")
+        got = mine.unionByName(other).withColumn("_at", nearest.over(reach)).filter("_for is not null and _at is not null")
+        got = got.select(F.col("_for.oid").alias("oid"), F.col("_for.node_id").alias("c_node_id"), F.col("doc_id").alias("c_doc"), "_at")
+        return got.join(self.nodes, (F.col("c_doc") == F.col("doc_id")) & (F.col("_at") == F.col("pre"))).select("oid", "c_node_id", *NODE_COLUMNS)
+
     def predicates(self, frame: DataFrame, predicates: tuple, order: Column) -> DataFrame:
         keep = frame.columns
         for p in predicates:
@@ -129,9 +146,11 @@ class NodeDocuments:
         to the nodes, tells where own values suffice."""
         if isinstance(e, Path) and e.steps and (e.steps[-1].axis == "attribute" or e.steps[-1].test.kind == "text"):
             return frame.withColumn("sv", F.coalesce("value", F.lit("")))
-        texts = self.nodes.filter("kind = 'text'").select(F.col("doc_id").alias("t_doc"), F.col("pre").alias("t_pre"), F.col("value").alias("t_value"))
+        block = F.floor(F.col("pre") / BLOCK).cast("long")
+        texts = self.nodes.filter("kind = 'text'").select(F.col("doc_id").alias("t_doc"), F.col("pre").alias("t_pre"), F.col("value").alias("t_value"), block.alias("t_block"))
         below = frame.filter("kind in ('element', 'document')").select("doc_id", "node_id", "pre", "last_desc").dropDuplicates(["doc_id", "node_id"])
-        joined = below.join(texts, (F.col("doc_id") == F.col("t_doc")) & (F.col("t_pre") > F.col("pre")) & (F.col("t_pre") <= F.col("last_desc")))
+        below = blocked(below, F.col("pre"), F.col("last_desc"))
+        joined = below.join(texts, (F.col("doc_id") == F.col("t_doc")) & (F.col("_block") == F.col("t_block")) & (F.col("t_pre") > F.col("pre")) & (F.col("t_pre") <= F.col("last_desc")))
         text = joined.groupBy("doc_id", "node_id").agg(F.expr("listagg(t_value, '') within group (order by t_pre)").alias("_text"))
         out = frame.join(text, ["doc_id", "node_id"], "left")
         return out.withColumn("sv", F.when(F.col("kind").isin("element", "document"), F.coalesce("_text", F.lit(""))).otherwise(F.coalesce("value", F.lit("")))).drop("_text")
