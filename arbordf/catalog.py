@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import partial
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,12 +15,12 @@ from .plans.nodes import NodeDocuments
 from .plans.parser import parse
 from .plans.rows import RowDocuments
 from .plans.stylesheet import Stylesheet
-from .sources.kept import kept
+from .sources.kept import kept, shared_folder
 from .sources.memo import Memo
 from .sources.messages import localize, localize_plural, message_frame, parse_messages
 from .sources.nest import Level, nest
-from .sources.serialize import serialize_nodes
-from .sources.shred import shred
+from .sources.serialize import serialize_nodes, write_records, write_texts
+from .sources.shred import Builder, read_records, shred
 from .streaming import windowed_counts
 
 QUERIES: dict = {}
@@ -242,7 +244,7 @@ tree_query("axis_following", "//supplier[@s_suppkey = 5]/following::*", {"name":
 tree_query("positional_per_parent", "/region/nation/customer[2]", {"key": "@c_custkey"}, "select c_custkey::varchar as key from (select c_custkey, row_number() over (partition by c_nationkey order by c_custkey) as p from customer) where p = 2")
 tree_query("positional_last", "/region/nation/customer[last()]", {"key": "@c_custkey"}, "select max(c_custkey)::varchar as key from customer group by c_nationkey")
 tree_query("tree_semi", "//customer[order/@o_totalprice > 450000]", {"key": "@c_custkey"}, "select c_custkey::varchar as key from customer where c_custkey in (select o_custkey from orders where o_totalprice > 450000)")
-tree_query("tree_anti", "//customer[not(order)]", {"key": "@c_custkey"}, "select c_custkey::varchar as key from customer where c_custkey not in (select o_custkey from orders)")
+tree_query("tree_anti", "//customer[not(order[@o_totalprice > 300000])]", {"key": "@c_custkey"}, "select c_custkey::varchar as key from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)")
 tree_query("tree_union", "//nation | //region", {"name": "name()"}, "select 'nation' as name from nation union all select 'region' from region")
 tree_query("tree_key", "/region/nation[key('c', '40')]", {"name": "@n_name"}, "select n_name as name from nation where n_regionkey = (select n_regionkey from nation join customer on c_nationkey = n_nationkey where c_custkey = 40)")
 tree_query("tree_equal_sets", "/region/nation[supplier/@s_suppkey = customer/@c_custkey]", {"name": "@n_name"}, "select n_name as name from nation where exists (select 1 from supplier join customer on s_suppkey = c_custkey and c_nationkey = s_nationkey where s_nationkey = n_nationkey)")
@@ -263,14 +265,14 @@ def ancestor_path(spark, sf_dir):
     return paths.groupBy("path").agg(F.count("*").alias("n"))
 
 
-@query("""select n_nationkey::varchar as key, '<nation n_nationkey="' || n_nationkey || '" n_name="' || n_name || '">' || coalesce(s, '') || '</nation>' as xml from nation join
+@query("""select n_nationkey::varchar as key, '<nation n_nationkey="' || n_nationkey || '" n_name="' || n_name || '"' || coalesce('>' || s || '</nation>', '/>') as xml from nation left join
   (select s_nationkey, string_agg('<supplier s_suppkey="' || s_suppkey || '"/>', '' order by s_suppkey) as s from supplier group by 1) on s_nationkey = n_nationkey""")
 def serialize_subtree(spark, sf_dir):
     """``copy-of`` of every nation subtree, serialised by one ordered aggregate."""
     t = partial(_table, spark, sf_dir)
     supplier = Level("supplier", t("supplier"), "s_suppkey", "s_nationkey", ["s_suppkey"])
     nodes = nest(Level("nation", t("nation"), "n_nationkey", None, ["n_nationkey", "n_name"], [supplier]))
-    return serialize_nodes(nodes).filter("xml not like '%/>' or xml like '%supplier%'").select(F.col("doc_id").alias("key"), "xml")
+    return serialize_nodes(nodes).select(F.col("doc_id").alias("key"), "xml")
 
 
 # HTML pages
@@ -425,4 +427,290 @@ each_query(
 )
 
 
+# positions and neighbours of nodes, current(), variables, other documents
+
+tree_query(
+    "tree_positions", "/region/nation", {"name": "@n_name", "place": "concat(position(), '/', last())"},
+    "select n_name as name, row_number() over (partition by n_regionkey order by n_nationkey) || '/' || count(*) over (partition by n_regionkey) as place from nation",
+)
+tree_query("tree_next_sibling", "/region/nation/customer[@c_acctbal < 0]/following-sibling::customer[1]", {"key": "@c_custkey"}, "select after::varchar as key from (select c_acctbal, lead(c_custkey) over (partition by c_nationkey order by c_custkey) as after from customer) where c_acctbal < 0 and after is not null")
+tree_query(
+    "tree_siblings_before", "/region/nation", {"name": "@n_name", "before": "count(preceding-sibling::nation)", "total": "sum(preceding-sibling::nation/@n_nationkey)"},
+    "select n_name as name, (row_number() over w - 1)::double as before, coalesce(sum(n_nationkey) over (partition by n_regionkey order by n_nationkey rows between unbounded preceding and 1 preceding), 0)::double as total from nation window w as (partition by n_regionkey order by n_nationkey)",
+)
+tree_query(
+    "tree_current", "//supplier", {"key": "@s_suppkey", "same": "count(../customer[@c_custkey = current()/@s_suppkey])", "nodes": "count(exsl:node-set(../supplier))"},
+    """select s_suppkey::varchar as key, (select count(*) from customer where c_custkey = s_suppkey and c_nationkey = s_nationkey)::double as same,
+       count(*) over (partition by s_nationkey)::double as nodes from supplier""",
+)
+
+
+@query("select n_name as name, n_nationkey + 5 > 12 as large from nation where n_regionkey = 2 and n_nationkey > 7")
+def tree_document_variable(spark, sf_dir):
+    """``document('2')`` is one document of the node table; variables are values of the host."""
+    d = _tree(spark, sf_dir)
+    own = NodeDocuments(d.nodes, variables={"low": num(F.lit(7.0)), "more": num(F.lit(5.0))})
+    return own.evaluate(own.find("document('2')/region/nation[@n_nationkey > $low]"), {"name": "@n_name", "large": "@n_nationkey + $more > 12"}).select("name", "large")
+
+
+@query("select o_orderkey, (o_totalprice > 150000) as large, round(o_totalprice + o_custkey, 2) as total from orders where o_custkey < 40")
+def row_variables(spark, sf_dir):
+    d = _rows(spark, sf_dir, variables={"most": num(F.lit(40.0)), "price": num(F.lit(150000.0))})
+    return rounded("total")(d.select("/orders/row[o_custkey < $most]", {"o_orderkey": "o_orderkey", "large": "o_totalprice > $price", "total": "sum(o_totalprice, o_custkey)"}))
+
+
+rows_query(
+    "sort_missing_first", "/customer/row", {"c_custkey": "c_custkey", "c_name": "c_name"},
+    "select c_custkey, c_name from (select *, case when c_custkey % 3 = 0 then c_custkey end as k from customer) order by k nulls first, c_custkey desc limit 20",
+    sort=[("number(substring-before(concat(c_custkey, substring('x', (c_custkey mod 3) + 1, 1)), 'x'))", "number", "ascending"), ("c_custkey", "number", "descending")], limit=20,
+)
+
+
+# sources and sinks
+
+
+def _region_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of XML files, one per region."""
+    path = f"{shared_folder(spark)}/regions"
+    docs = _nation_documents(spark, sf_dir).withColumn("region", F.col("doc_id")).repartition(F.col("region"))
+    docs.select("region", "xml").write.option("lineSep", "\n").partitionBy("region").text(path)
+    return path
+
+
+@query("select n_regionkey::varchar as id, count(*)::double as nations, string_agg(n_name, '' order by n_nationkey) as names from nation group by 1")
+def file_scan(spark, sf_dir):
+    """Trees written as files and scanned again; a file's path is its document."""
+    e = Engine(spark)
+    d = e.nodes(kept(spark, ("files", sf_dir), lambda: e.parse_files(f"{_region_files(spark, sf_dir)}/*")))
+    return d.evaluate(d.find("/region"), {"id": "@id", "nations": "count(nation)", "names": "string(.)"}).select("id", "nations", "names")
+
+
+@query("select n_regionkey::varchar as doc_id, n_name || '<&' || 'A' || chr(233) || '\"' as text, 1.0::double as elements from nation qualify row_number() over (partition by n_regionkey order by n_nationkey) = 1")
+def xml_parts(spark, sf_dir):
+    """CDATA, entities, character references; DOCTYPE, comments and instructions are dropped."""
+    n = _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.min_by("n_name", "n_nationkey").alias("name"))
+    xml = F.concat(F.lit('<?xml version="1.0"?><!DOCTYPE r [<!ELEMENT r ANY>]><?go on?><!-- c --><r a="1"><!-- x -->'), "name", F.lit("<![CDATA[<&]]>&#65;&#xE9;&quot;<?stop?></r>"))
+    d = NodeDocuments(shred(n.select(F.col("n_regionkey").alias("k"), xml.alias("x")), "k", "x"))
+    return d.evaluate(d.roots(), {"text": "string(r)", "elements": "count(//node()[name() != ''])"}).select("doc_id", "text", "elements")
+
+
+@query("select n_name as name, row_number() over (partition by n_regionkey order by n_nationkey)::int as place from nation union all select n_name, 1 from nation")
+def sibling_numbers(spark, sf_dir):
+    """The stored place of every element among its siblings, and of the name below it."""
+    nodes = shred(_nation_documents(spark, sf_dir), "doc_id", "xml")
+    d = NodeDocuments(nodes)
+    named = d.evaluate(d.find("//nation"), {"name": "name"}).join(nodes.select("doc_id", "node_id", F.col("sib_pos").alias("place")), ["doc_id", "node_id"])
+    below = d.strings(d.find("//nation/name")).select(F.col("sv").alias("name"), F.col("sib_pos").alias("place"))
+    return named.select("name", "place").unionByName(below)
+
+
+@query("select c_mktsegment as name, n::double as n from (select c_mktsegment, count(*) as n from customer group by 1) union all select 'extra', 2.0::double")
+def built_document(spark, sf_dir):
+    """A document built by hand from a small result: elements, attributes, texts and a fragment."""
+    b = Builder("built")
+    root = b.element(None, "segments")
+    for r in _table(spark, sf_dir, "customer").groupBy("c_mktsegment").count().orderBy("c_mktsegment").collect():  # five rows
+        e = b.element(root, "segment")
+        b.attribute(e, "name", r[0])
+        b.text(e, str(r[1]))
+    b.fragment(root, "<segment name='extra'>2</segment>")
+    d = NodeDocuments(b.frame(spark))
+    return d.evaluate(d.find("/segments/segment"), {"name": "@name", "n": "number(.)"}).select("name", "n")
+
+
+@query("select n_nationkey::varchar as key, n_name as text, 'key=' || n_nationkey as attributes from nation")
+def node_accessors(spark, sf_dir):
+    """String values and attribute maps of nodes."""
+    e = Engine(spark)
+    nodes = kept(spark, ("nations", sf_dir), lambda: e.shred(_nation_documents(spark, sf_dir), "doc_id", "xml"))
+    found = e.xpath(nodes, "//nation")
+    text = e.string_value(found).select("doc_id", "node_id", "sv")
+    joined = found.join(e.attributes(nodes), ["doc_id", "node_id"]).join(NodeDocuments(nodes).strings(found).select("doc_id", "node_id", F.col("sv").alias("text")), ["doc_id", "node_id"])
+    pairs = F.array_join(F.transform(F.map_entries("attributes"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
+    return joined.join(text, ["doc_id", "node_id"]).select(F.col("attributes")["key"].alias("key"), "text", pairs.alias("attributes"))
+
+
+@query("""select n_regionkey::varchar as doc_id, '<nations>' || string_agg('<n>' || n_name || '</n>', '' order by n_nationkey) || '</nations>' as line from nation group by 1""")
+def text_sink(spark, sf_dir):
+    """Results written one line per document, read back."""
+    sheet = Stylesheet.from_string(f'{_HEAD}{_T}<nations><xsl:for-each select="//nation"><n><xsl:value-of select="name"/></n></xsl:for-each></nations></xsl:template></xsl:stylesheet>')
+    path = shared_folder(spark)
+    out = sheet.transform(_nation_documents(spark, sf_dir), "doc_id", "xml")
+    write_texts(out.withColumn("line", F.concat("doc_id", F.lit("|"), "result")), "line", path)
+    back = F.split("value", r"\|", 2)
+    return spark.read.text(path).select(back[0].alias("doc_id"), back[1].alias("line"))
+
+
+@query("select n_nationkey, n_name from nation")
+def record_sink(spark, sf_dir):
+    """Rows written as record-shaped XML, read back by their row tag."""
+    path = shared_folder(spark)
+    write_records(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), path, "nations", "nation")
+    return read_records(spark, path, "nation").select(F.col("n_nationkey").cast("int"), "n_name")
+
+
+@query("select '/' as source, 'f' as target union all select '/', 'nation' union all select 'nation', 'f'")
+def task_graph(spark, sf_dir):
+    """Templates and which of them start which, as GraphML, parsed again."""
+    sheet = Stylesheet.from_string(f'{_HEAD}{_T}<xsl:call-template name="f"/><xsl:apply-templates/></xsl:template><xsl:template match="nation"><xsl:call-template name="f"/></xsl:template><xsl:template name="f"/></xsl:stylesheet>')
+    nodes = Engine(spark).parse(sheet.graphml(), "g")
+    d = NodeDocuments(nodes)
+    return d.evaluate(d.find("//edge[@target != '/']"), {"source": "@source", "target": "@target"}).select("source", "target")
+
+
+@query("select '<all>' || (select string_agg(r_name, ',' order by r_regionkey) from region) || '</all>' as result")
+def command_line(spark, sf_dir):
+    """``python -m arbordf STYLE DOC OUT``, in process."""
+    from .__main__ import main
+
+    names = [r[0] for r in _table(spark, sf_dir, "region").orderBy("r_regionkey").select("r_name").collect()]
+    with tempfile.TemporaryDirectory() as folder:
+        paths = [f"{folder}/{n}" for n in ("style.xsl", "doc.xml", "out.xml")]
+        Path(paths[0]).write_text(f'{_HEAD}{_T}<all><xsl:for-each select="//r"><xsl:if test="position() &gt; 1">,</xsl:if><xsl:value-of select="."/></xsl:for-each></all></xsl:template></xsl:stylesheet>')
+        Path(paths[1]).write_text("<d>" + "".join(f"<r>{n}</r>" for n in names) + "</d>")
+        if main(paths):
+            raise RuntimeError("the command line failed")
+        return spark.createDataFrame([(Path(paths[2]).read_text().rstrip("\n"),)], "result string")
+
+
+# more stylesheets
+
+
+def sheet_query(name: str, body: str, sql: str, head: str = _HEAD, kind: str = "xml", parts: dict | None = None, engine=None, params: dict | None = None) -> None:
+    """A stylesheet query with its own head, included parts and engine settings."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir) if engine else Engine(spark)
+        return e.transform(Stylesheet.from_string(f"{head}{body}</xsl:stylesheet>", parts=parts), _nation_documents(spark, sf_dir), "doc_id", "xml", params, kind)
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+_BARE = '<xsl:stylesheet version="1.0" xmlns:xsl="http://www.w3.org/1999/XSL/Transform">'
+_NAMES = "string_agg({} , '' order by n_nationkey)"
+sheet_query(
+    "style_include_import", '<xsl:import href="base.xsl"/><xsl:include href="more.xsl"/><xsl:template match="nation"><xsl:call-template name="mark"/><xsl:apply-imports/></xsl:template>',
+    _AGG.format("'<r>' || string_agg('*' || n_name || ';', '' order by n_nationkey) || '</r>'"),
+    parts={
+        "base.xsl": f'{_BARE}<xsl:template match="nation"><xsl:value-of select="name"/>;</xsl:template><xsl:template match="region"><old/></xsl:template></xsl:stylesheet>',
+        "more.xsl": f'{_BARE}<xsl:include href="deep.xsl"/><xsl:template match="region"><r><xsl:apply-templates/></r></xsl:template></xsl:stylesheet>',
+        "deep.xsl": f'{_BARE}<xsl:template name="mark">*</xsl:template></xsl:stylesheet>',
+    },
+)
+sheet_query(
+    "style_html_output", f'{_T}<html><head><title>R</title></head><body><xsl:for-each select="//nation"><img src="a&amp;b"/><xsl:value-of select="name"/><br/></xsl:for-each><script>if (1 &lt; 2) go();</script><p/></body></html></xsl:template>',
+    _AGG.format("""'<html><head><meta http-equiv="Content-Type" content="text/html; charset=UTF-8"><title>R</title></head><body>' || string_agg('<img src="a&amp;b">' || n_name || '<br>', '' order by n_nationkey) || '<script>if (1 < 2) go();</script><p></p></body></html>'"""), _BARE,
+)
+sheet_query(
+    "style_output_settings", f'<xsl:output method="html" doctype-public="-//P" doctype-system="s.dtd" media-type="text/x" encoding="latin1"/>{_T}<html><head/></html></xsl:template>',
+    _AGG.format("""'<!DOCTYPE html PUBLIC "-//P" "s.dtd">' || chr(10) || '<html><head><meta http-equiv="Content-Type" content="text/x; charset=latin1"></head></html>'"""), _BARE,
+)
+sheet_query(
+    "style_declaration", f'<xsl:output standalone="yes" doctype-system="s.dtd"/>{_T}<n><xsl:value-of select="count(//nation)"/></n></xsl:template>',
+    _AGG.format("""'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' || chr(10) || '<!DOCTYPE n SYSTEM "s.dtd">' || chr(10) || '<n>' || count(*) || '</n>'"""), _BARE,
+)
+sheet_query("style_text_output", f'<xsl:output method="text"/>{_T}<o><xsl:for-each select="//nation">&lt;<xsl:value-of select="name"/>&gt;</xsl:for-each></o></xsl:template>', _AGG.format("string_agg('<' || n_name || '>', '' order by n_nationkey)"), _BARE)
+sheet_query("style_no_escape", f'{_T}<o><xsl:text disable-output-escaping="yes">&lt;hr&gt;</xsl:text><xsl:value-of disable-output-escaping="yes" select="concat(\'&lt;\', count(//nation), \'&gt;\')"/>&lt;</o></xsl:template>', _AGG.format("'<o><hr><' || count(*) || '>&lt;</o>'"))
+
+
+def _with_documents(spark, sf_dir):
+    rows = _table(spark, sf_dir, "region").orderBy("r_regionkey").collect()  # five rows
+    return Engine(spark, documents={"regions.xml": "<all>" + "".join(f'<r k="{r["r_regionkey"]}">{r["r_name"]}</r>' for r in rows) + "</all>"})
+
+
+sheet_query(
+    "style_document", f"""{_T}<o><xsl:value-of select="document('regions.xml')//r[@k = current()/region/@id]"/>,<xsl:value-of select="count(document('')//xsl:template)"/>,<xsl:value-of select="count(document('none.xml'))"/></o></xsl:template>""",
+    "select r_regionkey::varchar as doc_id, '<o>' || r_name || ',1,0</o>' as result from region", engine=_with_documents,
+)
+sheet_query(
+    "style_node_set", f'<xsl:variable name="f"><xsl:for-each select="//nation"><i><xsl:value-of select="@key * 2"/></i></xsl:for-each></xsl:variable>{_T}<o><xsl:value-of select="sum(exsl:node-set($f)/i)"/>:<xsl:value-of select="exsl:node-set($f)/i[last()]"/></o></xsl:template>',
+    _AGG.format("'<o>' || 2 * sum(n_nationkey) || ':' || 2 * max(n_nationkey) || '</o>'"),
+)
+sheet_query(
+    "style_decimal_format", f"""<xsl:decimal-format name="eu" decimal-separator="," grouping-separator="." NaN="nix"/>{_T}<o><xsl:value-of select="format-number(1000 * count(//nation) + 0.5, '#.##0,00', 'eu')"/>|<xsl:value-of select="format-number(number('x'), '#', 'eu')"/></o></xsl:template>""",
+    _AGG.format("'<o>' || count(*) || '.000,50|nix</o>'"),
+)
+sheet_query(
+    "style_number_levels", f'{_T}<o><xsl:for-each select="//name"><xsl:number level="any" format="A"/><xsl:number level="multiple" count="nation|name" format="1.1"/>;</xsl:for-each><xsl:number value="1234567" grouping-separator="," grouping-size="3"/></o></xsl:template>',
+    "select doc_id, '<o>' || string_agg(chr(64 + p) || p || '.1;', '' order by p) || '1,234,567</o>' as result from (select n_regionkey::varchar as doc_id, row_number() over (partition by n_regionkey order by n_nationkey)::int as p from nation) group by 1",
+)
+sheet_query(
+    "style_case_order", f"""<xsl:variable name="w"><i>b</i><i>B</i><i>a</i></xsl:variable>{_T}<o><xsl:for-each select="exsl:node-set($w)/i"><xsl:sort select="." case-order="upper-first"/><xsl:value-of select="."/></xsl:for-each>,<xsl:for-each select="exsl:node-set($w)/i"><xsl:sort select="." case-order="lower-first"/><xsl:value-of select="."/></xsl:for-each></o></xsl:template>""",
+    "select r_regionkey::varchar as doc_id, '<o>aBb,abB</o>' as result from region",
+)
+sheet_query(
+    "style_texts_and_names", f"""{_T}<o><xsl:value-of select="count(//text())"/>,<xsl:value-of select="//nation[last()]/name/text()"/>,<xsl:value-of select="count(//name/text()/..)"/>,<xsl:value-of select="ltr:thread-id() &gt;= 0"/></o></xsl:template>""",
+    _AGG.format("'<o>' || count(*) || ',' || max_by(n_name, n_nationkey) || ',' || count(*) || ',true</o>'"),
+)
+sheet_query("style_parameters", f'<xsl:param name="p" select="1"/><xsl:param name="q" select="$p + 1"/><xsl:variable name="r" select="$q * count(//nation)"/>{_T}<o><xsl:value-of select="$p"/>,<xsl:value-of select="$q"/>,<xsl:value-of select="$r"/></o></xsl:template>', _AGG.format("'<o>7,8,' || 8 * count(*) || '</o>'"), params={"p": "7"})
+sheet_query(
+    "style_strip_sets", f'<xsl:strip-space elements="*"/><xsl:preserve-space elements="name"/><xsl:attribute-set name="s"><xsl:attribute name="n"><xsl:value-of select="count(//nation)"/></xsl:attribute></xsl:attribute-set><xsl:template match="/" priority="3"><o xsl:use-attribute-sets="s"/></xsl:template><xsl:template match="/" priority="2"><low/></xsl:template>',
+    _AGG.format("""'<o n="' || count(*) || '"/>'"""),
+)
+
+
+@query("select n_regionkey::varchar as doc_id, row_number() over (partition by n_regionkey order by n_nationkey)::int as place, 'saw ' || n_name as message, n_nationkey = 8 as terminated from nation where not (n_regionkey = 3 and n_nationkey > 8)")
+def style_messages(spark, sf_dir):
+    """Messages of every document's run; one of them ends its document's run."""
+    sheet = Stylesheet.from_string(f'{_HEAD}{_T}<xsl:for-each select="//nation"><xsl:choose><xsl:when test="@key = 8"><xsl:message terminate="yes">saw <xsl:value-of select="name"/></xsl:message></xsl:when><xsl:otherwise><xsl:message>saw <xsl:value-of select="name"/></xsl:message></xsl:otherwise></xsl:choose></xsl:for-each></xsl:template></xsl:stylesheet>')
+    return sheet.messages(_nation_documents(spark, sf_dir), "doc_id", "xml")
+
+
+# the engine's functions in rows, nodes and stylesheets
+
+
+def _engine(spark: SparkSession, sf_dir: str = "") -> Engine:
+    e = Engine(spark, url_prefix="cdn", url_callback=lambda key: "/u/" + key.lower(), cache_prefix="c:")
+    e.load_messages(_PO)
+    e.add_revision("ASIA", "7")
+    e.set_url_parameter("old", "0")
+    e.reset_url_parameters()
+    e.set_url_parameter("lang", "de")
+    return e
+
+
+_URL = "'/u/c:' || lower({}) || ',lang,de,'"
+_SAY = "case when {0} % 10 = 1 and {0} % 100 <> 11 then {0} || ' A' when {0} % 10 between 2 and 4 and not {0} % 100 between 10 and 19 then {0} || ' B' else {0} || ' C' end"
+
+
+@query(f"select c_custkey, {_URL.format('c_mktsegment')} as code, case when c_mktsegment = 'BUILDING' then 'Haus ' || c_name else c_mktsegment end as label, {_SAY.format('c_custkey')} as lines, 'other' || case when c_custkey = 1 then '' else 's' end as others, '/static/' || c_mktsegment as static from customer")
+def row_engine_functions(spark, sf_dir):
+    return _engine(spark).rows({"customer": _table(spark, sf_dir, "customer")}, ORDER).select(
+        "/customer/row",
+        {
+            "c_custkey": "c_custkey", "code": "ltr:url_code(c_mktsegment, '-lang', '-old')", "label": "ltr:__l(c_mktsegment, 'name', c_name)",
+            "lines": "ltr:__ln('line', 'lines', c_custkey, 'n', c_custkey)", "others": "ltr:__ln('other', 'others', c_custkey)", "static": "ltr:veristat(c_mktsegment)",
+        },
+    )
+
+
+@query(f"select r_name as name, {_URL.format('r_name')} as code, 'cdn/static/' || r_name || case when r_name = 'ASIA' then '?7' else '' end as static, '5 C' as lines, r_name as label, true as thread from region")
+def node_engine_functions(spark, sf_dir):
+    d = _engine(spark).nodes(_tree(spark, sf_dir).nodes)
+    return d.evaluate(d.find("/region"), {"name": "@r_name", "code": "ltr:url_code(@r_name, '-lang', '-old')", "static": "ltr:veristat_local(@r_name)", "lines": "ltr:__ln('line', 'lines', count(nation), 'n', count(nation))", "label": "ltr:__l(@r_name)", "thread": "ltr:thread-id() >= 0"}).drop("doc_id", "node_id")
+
+
+sheet_query(
+    "style_engine_functions", f"""{_T}<o><xsl:value-of select="ltr:url_code(region/@id, '-lang', '-old')"/>|<xsl:value-of select="ltr:veristat('ASIA')"/>|<xsl:value-of select="ltr:__l('BUILDING', 'name', 'X')"/>|<xsl:value-of select="ltr:__ln('line', 'lines', count(//nation), 'n', 5)"/></o></xsl:template>""",
+    f"select r_regionkey::varchar as doc_id, '<o>' || {_URL.format('r_regionkey::varchar')} || '|/static/ASIA?7|Haus X|5 C</o>' as result from region", engine=_engine,
+)
+
+
+@query("select l_orderkey, l_linenumber, (case when q = 1 then 0 when q % 10 between 2 and 4 and not q % 100 between 10 and 19 then 1 else 2 end)::int as pl, (case when q % 10 = 1 and q % 100 <> 11 then 0 when q % 10 between 2 and 4 and not q % 100 between 10 and 19 then 1 else 2 end)::int as uk, (q <> 1)::int as en from (select *, l_quantity::bigint as q from lineitem)")
+def plural_forms(spark, sf_dir):
+    q = F.col("l_quantity").cast("long")
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(plural_index(x, q).cast("int").alias(x) for x in ("pl", "uk", "en")))
+
+
+@query("select o_orderkey, 'A' || o_orderpriority || repeat('y', 230) as first, 'A' || o_orderpriority || repeat('y', 230) as second from orders")
+def memo_folder(spark, sf_dir):
+    """Results kept in a folder: a second run with another function still gets the first one's, long keys among them."""
+    orders, path = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat("o_orderpriority", F.lit("y" * 230)).alias("k")), shared_folder(spark)
+    Memo(path, "p:", None).apply(orders, "k", "first", lambda k: "A" + k)
+    Memo(path, "p:", None).compact(spark)
+    once = Memo(path, "p:", 3600).apply(orders, "k", "first", lambda k: "B" + k)
+    again = Memo(path, "p:", None).apply(once, "k", "second", lambda k: "C" + k)
+    return again.select("o_orderkey", "first", "second")
+
+
 __all__ = ["ORACLES", "QUERIES", "counted", "num", "string"]

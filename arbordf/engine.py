@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.scalars import Value, string, substitute
+from .functions.scalars import Value, plural_index, string
 from .operators.schema import NODE_COLUMNS
 from .plans.nodes import NodeDocuments
 from .plans.rows import RowDocuments
@@ -32,6 +32,7 @@ class Engine:
     parameters: dict[str, str] = field(default_factory=dict)
     url_callback: Callable[[str], str] | None = None
     memo: Memo = field(default_factory=Memo)
+    documents: dict[str, str] = field(default_factory=dict)
 
     # documents
 
@@ -104,7 +105,7 @@ class Engine:
             "ltr:veristat": static, "ltr:veristat_local": lambda url: prefix + static(url), "ltr:url_code": code,
             "ltr:__l": one, "ltr:__ln": many,
         }
-        return Environment({**built, **self.functions}, {"chk:check_rights": lambda a, c: text_of(a[0]) in actions})
+        return Environment({**built, **self.functions}, {"chk:check_rights": lambda a, c: text_of(a[0]) in actions}, self.documents)
 
     # host functions
 
@@ -118,34 +119,66 @@ class Engine:
             "ltr:veristat": lambda url: string(self.static_url(url.string)),
             "ltr:veristat_local": lambda url: string(F.concat(F.lit(self.url_prefix), self.static_url(url.string))),
             "chk:check_rights": lambda action: Value(action.string.isin(sorted(self.actions())) if self.actions() else F.lit(False), "boolean"),
-            "ltr:__l": lambda msgid, *rest: string(self._message(msgid, rest)),
+            "ltr:__l": lambda msgid, *rest: string(self._filled(self._translated(msgid.string, 0, msgid.string), rest)),
+            "ltr:__ln": self._plural,
+            "ltr:url_code": self._url_code,
         }
         for name, f in self.functions.items():
             own[name] = _as_column(f)
         return own
 
-    def _message(self, msgid: Value, rest) -> Column:
-        known = {k: v[0] for k, v in self.messages.items() if k and v and v[0]}
-        text = msgid.string
-        if known:
-            table = F.create_map(*(F.lit(x) for kv in known.items() for x in kv))
-            text = F.coalesce(F.try_element_at(table, msgid.string), msgid.string)
-        names = [r.col for r in rest[::2]]
-        for name, value in zip(names, rest[1::2]):
-            text = F.replace(text, F.concat(F.lit("{"), name, F.lit("}")), value.string)
-        return substitute(text, [])
+    def _translated(self, msgid: Column, form: Column | int, otherwise: Column) -> Column:
+        """A message's form, or ``otherwise`` where the catalogue has none."""
+        known = {k: v for k, v in self.messages.items() if k and any(v)}
+        if not known:
+            return otherwise
+        at = form if isinstance(form, Column) else F.lit(form)
+        forms = _looked_up({k: tuple(v) for k, v in known.items()}, msgid, at)
+        return F.coalesce(F.nullif(forms, F.lit("")), otherwise)
+
+    def _plural(self, msgid: Value, plural: Value, n: Value, *rest: Value) -> Value:
+        count = F.floor(n.number).cast("long")
+        form = plural_index(language_of(self.messages), count)
+        return string(self._filled(self._translated(msgid.string, form, F.when(count == 1, msgid.string).otherwise(plural.string)), rest))
+
+    @staticmethod
+    def _filled(text: Column, rest) -> Column:
+        """``{name}`` replaced by values; ``rest`` is name, value, name, value ..."""
+        for name, value in zip(rest[::2], rest[1::2]):
+            text = F.replace(text, F.concat(F.lit("{"), name.string, F.lit("}")), value.string)
+        return text
+
+    def _url_code(self, *args: Value) -> Value:
+        """The callback's URL for the arguments' key, called once per distinct key of a batch and remembered by the worker."""
+        if not args or self.url_callback is None:
+            return string(F.lit("/"))
+        parameters = dict(self.url_parameters)
+        parts = []
+        for a in args:
+            value = F.lit(None).cast("string")
+            for name, text in parameters.items():
+                value = F.when(F.substr(a.string, F.lit(2)) == name, F.lit(f"{name},{text}")).otherwise(value)
+            parts.append(F.when(F.startswith(a.string, F.lit("-")), F.coalesce(value, F.lit(""))).otherwise(a.string))
+        return _as_column(self.url_callback)(string(F.concat(F.lit(self.cache_prefix), F.concat_ws(",", *parts))))
 
     # settings
 
+    def set_url_parameter(self, name: str, value: str) -> None:
+        """``-name`` among the arguments of a URL code stands for ``name,value`` from now on."""
+        self.url_parameters[name] = value
+
+    def reset_url_parameters(self) -> None:
+        self.url_parameters.clear()
+
     def add_revision(self, url: str, revision: str) -> None:
         self.revisions[url] = revision
 
     def static_url(self, url: Column) -> Column:
-        """``/static/`` + url, with ``?revision`` where one is known. The table of revisions is the host's, a literal map."""
+        """``/static/`` + url, with ``?revision`` where one is known."""
         if not self.revisions:
             return F.concat(F.lit("/static/"), url)
-        table = F.create_map(*(F.lit(x) for kv in self.revisions.items() for x in kv))
-        return F.concat(F.lit("/static/"), url, F.coalesce(F.concat(F.lit("?"), F.try_element_at(table, url)), F.lit("")))
+        revision = _looked_up({k: (v,) for k, v in self.revisions.items()}, url, F.lit(0))
+        return F.concat(F.lit("/static/"), url, F.coalesce(F.concat(F.lit("?"), revision), F.lit("")))
 
     def with_revisions(self, rows: DataFrame, url: str, revisions: DataFrame, out: str) -> DataFrame:
         """The same for a table of revisions (url, revision) of any size: a left join."""
@@ -167,10 +200,12 @@ class Engine:
         return message_frame(self.spark, self.messages)
 
     def url_codes(self, rows: DataFrame, parts: list[str], out: str) -> DataFrame:
-        """Add ``out``: the callback's URL for the comma-joined parts, computed once per distinct key."""
+        """Add ``out``: the callback's URL for the comma-joined parts, computed once per distinct key. A part is a column, or
+        ``-name`` for a URL parameter."""
         if self.url_callback is None:
             return rows.withColumn(out, F.lit("/"))
-        keyed = rows.withColumn("_url_key", F.concat(F.lit(self.cache_prefix), F.concat_ws(",", *parts)))
+        own = [F.lit(url_key([p], self.url_parameters)) if p.startswith("-") else F.col(p) for p in parts]
+        keyed = rows.withColumn("_url_key", F.concat(F.lit(self.cache_prefix), F.concat_ws(",", *own)))
         return self.memo.apply(keyed, "_url_key", out, self.url_callback).drop("_url_key")
 
 
@@ -197,12 +232,42 @@ def plural_form(language: str, n: int) -> int:
     return int(n != 1)
 
 
+#: Entries that may stand in a plan as a literal map; a larger table is sent to the workers once.
+LITERALS = 500
+
+
+def _looked_up(table: dict[str, tuple[str, ...]], key: Column, at: Column) -> Column:
+    """Text ``at`` of the key's entry, null where there is none."""
+    if len(table) <= LITERALS:
+        entries = F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+        return F.try_element_at(F.try_element_at(entries, key), (at + 1).cast("int"))
+    import pandas as pd
+    from pyspark.sql.functions import PandasUDFType, pandas_udf
+
+    sent = SparkSession.active().sparkContext.broadcast(table)
+
+    def batch(keys, places):
+        found = (sent.value.get(k, ()) for k in keys)
+        return pd.Series([f[i] if i < len(f) else None for f, i in zip(found, places)], dtype=object)
+
+    batch.__annotations__ = {}
+    return pandas_udf(batch, "string", PandasUDFType.SCALAR)(key, at.cast("int"))
+
+
 def _as_column(function: Callable[..., str]) -> Callable[..., Value]:
+    """A host function over Arrow batches, called once per distinct combination of arguments in a batch."""
     import pandas as pd
 
     def apply(*args: Value) -> Value:
         def batch(*cols):
-            return pd.Series([function(*("" if x is None else x for x in row)) for row in zip(*cols)])
+            known: dict[tuple, str] = {}
+            out = []
+            for row in zip(*cols):
+                key = tuple("" if x is None else x for x in row)
+                if key not in known:
+                    known[key] = function(*key)
+                out.append(known[key])
+            return pd.Series(out)
 
         batch.__annotations__ = {}
         from pyspark.sql.functions import PandasUDFType, pandas_udf

@@ -7,7 +7,9 @@ per candidate. Node-sets are sets: each step ends in one row per (oid, node).
 
 from __future__ import annotations
 
+import functools
 import itertools
+import operator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +23,7 @@ from .ast import Bin, Call, Neg, Num, Path, Step, Str, UnsupportedPath, Var, cal
 from .parser import parse
 
 _FLIP = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "=": "=", "!=": "!="}
-_NODE_SETS = {"key", "current"}
+_NODE_SETS = {"key", "exsl:node-set"}
 
 
 @dataclass
@@ -37,14 +39,20 @@ class NodeDocuments:
     # entry points
 
     def find(self, path: str, context: DataFrame | None = None) -> DataFrame:
-        """Node rows that ``path`` selects from the context nodes (the document nodes if not given)."""
-        start = (self.roots() if context is None else context).withColumn("oid", F.col("node_id"))
-        return self.navigate(start, parse(path)).select(NODE_COLUMNS).dropDuplicates(["doc_id", "node_id"])
+        """Node rows that ``path`` selects from the context nodes (the document nodes if not given). A path that starts with
+        ``document('id')`` starts at that document of the table."""
+        e, start = parse(path), self.roots() if context is None else context
+        if isinstance(e, Path) and isinstance(e.start, Call) and e.start.name == "document" and isinstance(e.start.args[0], Str):
+            start, e = self.roots().filter(F.col("doc_id") == e.start.args[0].value), Path(None, e.steps, e.predicates)
+        return self.navigate(start.withColumn("oid", F.col("node_id")), e).select(NODE_COLUMNS).dropDuplicates(["doc_id", "node_id"])
 
     def evaluate(self, context: DataFrame, columns: dict[str, str]) -> DataFrame:
         """One row per context node: doc_id, node_id and each expression's value."""
         frame = context
         compiled = {}
+        if any(calls(parse(text), {"position", "last"}) for text in columns.values()):  # places among a document's context nodes
+            w = Window.partitionBy("doc_id")
+            frame = frame.withColumns({"_pos": F.row_number().over(w.orderBy("pre")).cast("double"), "_last": F.count("*").over(w).cast("double")})
         for name, text in columns.items():
             frame, v = self.compile(frame, parse(text))
             frame = frame.withColumn(tmp := self.fresh(), v.col)
@@ -75,6 +83,10 @@ class NodeDocuments:
             now = frame.select("oid", *NODE_COLUMNS)
         elif isinstance(e.start, Call) and e.start.name == "key":
             now = self.keyed(frame, e.start)
+        elif isinstance(e.start, Call) and e.start.name == "exsl:node-set":
+            now = self.navigate(frame, e.start.args[0]).select("oid", *NODE_COLUMNS)
+        elif isinstance(e.start, Call):
+            raise UnsupportedPath(f"{e.start.name}() gives no node-set here")
         else:
             now = self.navigate(frame, e.start).select("oid", *NODE_COLUMNS)
         if e.predicates:
@@ -176,18 +188,21 @@ class NodeDocuments:
             got = self.strings(got, e)
         return self.back(frame, got.groupBy("doc_id", "oid").agg(aggregate.alias(name)), name), F.col(name)
 
-    def attribute(self, frame: DataFrame, name: str) -> tuple[DataFrame, Column]:
+    def attribute(self, frame: DataFrame, name: str, of: str = "node_id") -> tuple[DataFrame, Column]:
         """Value of one attribute of each node: one equi-join, as a node has at most one of a name."""
         tmp = self.fresh()
         other = self.nodes.filter((F.col("kind") == "attribute") & (F.col("name") == name))
         other = other.select(F.col("doc_id").alias("b_doc"), F.col("parent_id").alias("b_oid"), F.col("value").alias(tmp))
-        frame = frame.join(other, (F.col("doc_id") == F.col("b_doc")) & (F.col("node_id") == F.col("b_oid")), "left")
+        frame = frame.join(other, (F.col("doc_id") == F.col("b_doc")) & (F.col(of) == F.col("b_oid")), "left")
         return frame.drop("b_doc", "b_oid"), F.col(tmp)
 
     def compile(self, frame: DataFrame, e) -> tuple[DataFrame, Value]:
         if (name := own_attribute(e)) is not None:
             frame, c = self.attribute(frame, name)
             return frame, string(c)
+        if (name := current_attribute(e)) is not None:
+            frame, c = self.attribute(frame, name, "oid" if "oid" in frame.columns else "node_id")
+            return frame, string(c)
         if isinstance(e, Num):
             return frame, num(F.lit(e.value))
         if isinstance(e, Str):
@@ -238,10 +253,12 @@ class NodeDocuments:
         frame, b = self.compile(frame, e.right)
         if left and (name := own_attribute(e.left)) is not None and b.kind != "boolean":
             frame, c = self.attribute(frame, name)
-            return frame, boolean(c.isNotNull() & self.plain(e.op, string(c), b))
+            held = c.isNotNull() & self.plain(e.op, string(c), b)
+            return frame, boolean(held & b.col.isNotNull() if current_attribute(e.right) else held)
         if not left:
             frame, a = self.compile(frame, e.left)
-            return frame, boolean(self.plain(e.op, a, b))
+            there = [v.col.isNotNull() for side, v in ((e.left, a), (e.right, b)) if current_attribute(side)]
+            return frame, boolean(functools.reduce(operator.and_, there, self.plain(e.op, a, b)))
         if b.kind == "boolean" and e.op in ("=", "!="):
             frame, a = self.truth(frame, e.left)
             return frame, boolean(a == b.col if e.op == "=" else a != b.col)
@@ -325,7 +342,16 @@ def own_attribute(e) -> str | None:
     return None
 
 
+def current_attribute(e) -> str | None:
+    """Name of the attribute if the expression is ``current()/@name``."""
+    if isinstance(e, Path) and isinstance(e.start, Call) and e.start.name == "current" and not e.predicates:
+        return own_attribute(Path(None, e.steps))
+    return None
+
+
 def is_node_set(e) -> bool:
+    if current_attribute(e):
+        return False
     if isinstance(e, Bin):
         return e.op == "|"
     if isinstance(e, Call):

@@ -536,7 +536,11 @@ class _Rows:
         if e.name == "last":
             return num(self.last())
         if e.name in ("count", "sum"):
-            return self.aggregate(e.args[0], e.name)
+            total = None
+            for a in e.args:
+                v = self.compile(a) if e.name == "sum" and self.bare(a) else self.aggregate(a, e.name)
+                total = v.number if total is None else total + v.number
+            return num(total)
         if e.name == "format-number":
             return format_number(self.compile(e.args[0]), e.args[1].value, self.docs.formats.get(e.args[2].value if len(e.args) > 2 else ""))
         if e.name == "ltr:str_escape":

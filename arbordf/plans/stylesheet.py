@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import logging
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path as FilePath
 
 import pyarrow as pa
@@ -49,6 +49,7 @@ class Environment:
     node_functions: dict = field(default_factory=dict)
     documents: dict[str, str] = field(default_factory=dict)
     formats: dict[str, dict] = field(default_factory=dict)
+    messages: list[str] | None = None  # where xsl:message texts go besides the log
 
 
 @dataclass
@@ -71,16 +72,25 @@ class Stylesheet:
         return cls.from_string(FilePath(path).read_text(encoding="utf-8"), str(FilePath(path).parent))
 
     @classmethod
-    def from_string(cls, text: str, folder: str = ".") -> Stylesheet:
+    def from_string(cls, text: str, folder: str = ".", parts: dict[str, str] | None = None) -> Stylesheet:
+        """``parts`` holds texts that include and import find by their href, before files of ``folder``."""
         s = cls(source=text)
+        s._parts = parts or {}
         s._precedence = s._order = 0
         s._load(text, folder)
         for rules in s.rules.values():
             rules.sort(key=lambda r: (r.precedence, r.priority, r.order), reverse=True)
-        del s._precedence, s._order
+        del s._precedence, s._order, s._parts
         return s
 
-    def _load(self, text: str, folder: str, including: bool = False) -> None:
+    def _part(self, folder: str, href: str) -> tuple[str, str]:
+        """Text of an included or imported stylesheet, and the folder its own hrefs start from."""
+        if href in self._parts:
+            return self._parts[href], folder
+        path = FilePath(folder, href)
+        return path.read_text(encoding="utf-8"), str(path.parent)
+
+    def _load(self, text: str, folder: str) -> None:
         root = next(c for c in parse_xml(text).children if c.kind == "element")
         _strip_blank(root)
         if root.name not in ("xsl:stylesheet", "xsl:transform"):  # a literal result element is a whole stylesheet
@@ -92,14 +102,12 @@ class Stylesheet:
         top = [c for c in root.children if c.kind == "element"]
         for c in top:
             if c.name == "xsl:import":
-                href = FilePath(folder, c.attribute("href"))
-                self._load(href.read_text(encoding="utf-8"), str(href.parent))
+                self._load(*self._part(folder, c.attribute("href")))
                 self._precedence += 1
         for c in top:
             kind = c.name.removeprefix(_XSL) if c.name.startswith(_XSL) else ""
             if kind == "include":
-                href = FilePath(folder, c.attribute("href"))
-                self._load(href.read_text(encoding="utf-8"), str(href.parent), True)
+                self._load(*self._part(folder, c.attribute("href")))
             elif kind == "template":
                 self._template(c)
             elif kind in ("variable", "param"):
@@ -156,6 +164,24 @@ class Stylesheet:
 
         return docs.select(key, F.col(text)).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, result string")
 
+    def messages(self, docs: DataFrame, key: str, text: str, params: dict | None = None, env: Environment | None = None, kind: str = "xml") -> DataFrame:
+        """(key, place, message, terminated) of every message that the documents' runs send, in order."""
+
+        def run(it):
+            for b in it:
+                rows = []
+                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    own, ended = replace(env or Environment(), messages=[]), False
+                    try:
+                        if t is not None:
+                            self.render(t, params, own, kind)
+                    except StylesheetError:
+                        ended = True
+                    rows += [(k, i, m, ended and i == len(own.messages)) for i, m in enumerate(own.messages, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.column(0).type), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.bool_())], names=[key, "place", "message", "terminated"])
+
+        return docs.select(key, F.col(text)).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, place int, message string, terminated boolean")
+
     def task_graph(self) -> tuple[list[str], list[tuple[str, str]]]:
         """Templates and which of them can start which: vertices and edges of the expansion."""
         label = lambda t: t.attribute("name") or f"{t.attribute('match')}" + (f" ({t.attribute('mode')})" if t.attribute("mode") else "")
@@ -206,7 +232,7 @@ class _Run:
     def __init__(self, sheet: Stylesheet, document: Node, params: dict[str, str], env: Environment):
         self.sheet, self.document, self.params = sheet, document, params
         own = {"key": self._key, "document": self._document}
-        self.env = Environment(env.functions, env.node_functions | own, env.documents, {**env.formats, **sheet.formats})
+        self.env = Environment(env.functions, env.node_functions | own, env.documents, {**env.formats, **sheet.formats}, env.messages)
         self.index: dict[tuple[str, int], dict[str, list[Node]]] = {}
         self.loaded: dict[str, Node] = {}
         self.globals: dict[str, object] = {}
@@ -485,6 +511,8 @@ class _Run:
     def _do_message(self, n, c, passed, out, rule):
         text = self._fragment(n, c, rule).text()
         log.warning("%s", text)
+        if self.env.messages is not None:
+            self.env.messages.append(text)
         if n.attribute("terminate") == "yes":
             raise StylesheetError(text)
 
@@ -494,7 +522,9 @@ class _Run:
             numbers = [int(to_number(self._eval(n.attribute("value"), c)) + 0.5)]
         else:
             numbers = self._numbers(n, c)
-        out.append(Node("text", None, _formatted(numbers, picture)))
+        mark, size = n.attribute("grouping-separator"), n.attribute("grouping-size")
+        group = (self._avt(mark, c), int(to_number(self._avt(size, c)))) if mark and size else None
+        out.append(Node("text", None, _formatted(numbers, picture, group)))
 
     def _numbers(self, n: Node, c: Context) -> list[int]:
         x = c.node
@@ -549,7 +579,7 @@ def _copy(x: Node, out: Node) -> None:
         _copy(child, made)
 
 
-def _formatted(numbers: list[int], picture: str) -> str:
+def _formatted(numbers: list[int], picture: str, group: tuple[str, int] | None = None) -> str:
     """Numbers by a picture such as ``1.``, ``A``, ``i`` or ``01-a``; the last token serves all further numbers."""
     parts = re.split(r"([^\W_]+)", picture)
     tokens, marks = parts[1::2] or ["1"], parts[2:-1:2]
@@ -558,7 +588,10 @@ def _formatted(numbers: list[int], picture: str) -> str:
         token = tokens[min(i, len(tokens) - 1)]
         if i:
             out.append(marks[min(i - 1, len(marks) - 1)] if marks else ".")
-        out.append(_one(k, token))
+        digits = _one(k, token)
+        if group and token[-1:] == "1":
+            digits = re.sub(rf"(?<=\d)(?=(\d{{{group[1]}}})+$)", lambda _: group[0], digits)
+        out.append(digits)
     return parts[0] + "".join(out) + (parts[-1] if len(parts) > 1 else "")
 
 

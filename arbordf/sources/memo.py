@@ -18,7 +18,12 @@ def cache_key(key: Column, prefix: str = "") -> Column:
 
 
 class Memo:
-    """Results by key in a Parquet folder; entries older than ``ttl_seconds`` count as absent (null: kept for good)."""
+    """Results by key in a Parquet folder; entries older than ``ttl_seconds`` count as absent (None: kept for good).
+
+    Runs append, each under the commit protocol, so runs side by side lose nothing: a key that two of them compute has two
+    entries, of which the later counts. ``compact`` rewrites the folder without expired and repeated entries; it is to run
+    alone.
+    """
 
     def __init__(self, path: str | None = None, prefix: str = "", ttl_seconds: int | None = 1200):
         self.path, self.prefix, self.ttl = path, prefix, ttl_seconds
@@ -35,6 +40,18 @@ class Memo:
         fresh = rows if self.ttl is None else rows.filter(F.col("_at") > F.current_timestamp() - F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {self.ttl})"))
         return fresh.groupBy("_key").agg(F.max_by("_result", "_at").alias("_result"))
 
+    def compact(self, spark) -> None:
+        """Keep the entries that count: they are written beside the folder, which then takes their place."""
+        rows = self.known(spark.range(0))
+        if rows is None:
+            return
+        jvm, new = spark.sparkContext._jvm, f"{self.path.rstrip('/')}.new"
+        rows.withColumn("_at", F.current_timestamp()).write.mode("overwrite").parquet(new)
+        old, made = jvm.org.apache.hadoop.fs.Path(self.path), jvm.org.apache.hadoop.fs.Path(new)
+        files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.delete(old, True)
+        files.rename(made, old)
+
     def apply(self, rows: DataFrame, key: str, out: str, function: Callable[[str], str]) -> DataFrame:
         """Add ``out`` = function(column ``key``), called once per distinct key that is not known yet."""
         keyed = rows.withColumn("_key", cache_key(F.col(key), self.prefix))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -105,9 +104,4 @@ class Builder:
         return spark.createDataFrame(tree_rows(self.doc_id, self.root), NODE_SCHEMA)
 
 
-def resolve(base: str, uri: str) -> str:
-    """``uri`` relative to the folder of ``base``."""
-    return uri if "://" in uri or os.path.isabs(uri) else os.path.normpath(os.path.join(os.path.dirname(base), uri))
-
-
-__all__ = ["NODE_COLUMNS", "Builder", "from_string", "read_files", "read_records", "resolve", "shred", "tree_rows"]
+__all__ = ["NODE_COLUMNS", "Builder", "from_string", "read_files", "read_records", "shred", "tree_rows"]

@@ -138,12 +138,3 @@ def parse_html(text: str) -> Node:
     p.feed(text)
     p.close()
     return number(p.doc)
-
-
-_ENTITY = re.compile(r"&(?:#(\d+)|#[xX]([0-9a-fA-F]+)|(amp|lt|gt|quot|apos));")
-_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
-
-
-def decode_entities(text: str) -> str:
-    """The five named entities and numeric references; anything else stays."""
-    return _ENTITY.sub(lambda m: _NAMED[m[3]] if m[3] else chr(int(m[1]) if m[1] else int(m[2], 16)), text)
