@@ -9,10 +9,13 @@
    searches as postings, however long the list. Found links are joined to components.
 4. *Second search.* Only members of one list that are still in different components are compared, with the size and
    position filters, so nothing is left out: a pair in one component needs no link of its own.
-5. *Search.* T-occurrence search with DivideSkip: a query's inverted lists over its candidates are split; the longest
-   ones are set aside, the short ones merged by a heap, and a candidate found often enough is probed in the long ones by
-   binary search until it reaches the required overlap or cannot any more. Counts are exact (up to collisions of 64-bit
-   hashes).
+5. *Search.* T-occurrence search with DivideSkip. The sets of a group are inverted once (``Inverted``: token -> members, by
+   one sort). A query's lists are split; the longest ones are set aside, the short ones merged by a heap, and a member
+   found often enough is probed in the long ones by binary search until it reaches the required overlap or cannot any
+   more. These counts are the only ones: no intersection is taken. They are exact (up to collisions of 64-bit hashes).
+
+What is compared within one list grows with the square of its members only as far as they are in different components
+after the first search and pass the size and position filters; such a list is dealt out by the skew handling of joins.
 
 Texts without words have an empty set and link with nothing; fewer than k words make one shingle. Null text counts as
 empty. Rows with the same doc_id are one document: their classes are joined. A null doc_id has a null component. Extra
@@ -102,46 +105,63 @@ def signatures(docs: DataFrame, k: int, percent: int, late: np.ndarray) -> DataF
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, key binary, first array<long>")
 
 
+class Inverted:
+    """Inverted lists of a group of sets: the members of each token, ascending."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = [len(s) for s in sets]
+        tokens = np.concatenate([*sets, np.empty(0, np.uint64)])
+        members = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(tokens, kind="stable")  # members stay ascending
+        self.tokens, begins = np.unique(tokens[order], return_index=True)
+        self.members, self.bounds = members[order].tolist(), [*begins.tolist(), len(tokens)]
+
+    def lists(self, query: np.ndarray) -> list[list[int]]:
+        """The lists of the query's tokens, longest first."""
+        if not len(self.tokens):
+            return []
+        at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
+        found = [self.members[self.bounds[i] : self.bounds[i + 1]] for i in at[self.tokens[at] == query].tolist()]
+        return sorted(found, key=len, reverse=True)
+
+    def search(self, query: np.ndarray, percent: int) -> list[int]:
+        """Members that overlap ``query`` as required, by T-occurrence search."""
+        need = [_required(percent, len(query) + n) if n else len(query) + 1 for n in self.sizes]
+        fits = [k <= min(n, len(query)) for k, n in zip(need, self.sizes)]
+        least = min((k for k, ok in zip(need, fits) if ok), default=0)
+        ordered = self.lists(query)
+        if not least or len(ordered) < least:
+            return []
+        # lists set aside: the more the required overlap exceeds what probing costs
+        aside = min(int(least / (0.0085 * np.log2(max(len(ordered[0]), 2)) + 1)), least - 1)
+        long_, short = ordered[:aside], ordered[aside:]
+        found: list[int] = []
+        current, count = -1, 0
+
+        def settle() -> None:
+            if current < 0 or not fits[current] or count < need[current] - aside:
+                return
+            total = count
+            for j, members in enumerate(long_):
+                if total >= need[current] or total + len(long_) - j < need[current]:
+                    break
+                at = bisect_left(members, current)
+                total += at < len(members) and members[at] == current
+            if total >= need[current]:
+                found.append(current)
+
+        for i in heapq.merge(*short):
+            if i != current:
+                settle()
+                current, count = i, 0
+            count += 1
+        settle()
+        return found
+
+
 def occurrence_search(query: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
-    """Indexes of ``sets`` that overlap ``query`` as required: T-occurrence search with DivideSkip."""
-    need = [_required(percent, len(query) + len(s)) for s in sets]
-    fits = [i for i, s in enumerate(sets) if len(s) and need[i] <= min(len(s), len(query))]
-    if not fits:
-        return []
-    lists: dict[int, list[int]] = {}
-    wanted = set(query.tolist())
-    for i in fits:
-        for token in wanted.intersection(sets[i].tolist()):
-            lists.setdefault(token, []).append(i)
-    least = min(need[i] for i in fits)
-    ordered = sorted(lists.values(), key=len, reverse=True)
-    if len(ordered) < least:
-        return []
-    # lists set aside: the more the required overlap exceeds what probing costs
-    aside = min(int(least / (0.0085 * np.log2(max(len(ordered[0]), 2)) + 1)), least - 1)
-    long_, short = ordered[:aside], ordered[aside:]
-    found, merged = [], heapq.merge(*short)
-    current, count = -1, 0
-
-    def settle() -> None:
-        if current < 0 or count < need[current] - aside:
-            return
-        total = count
-        for j, members in enumerate(long_):
-            if total >= need[current] or total + len(long_) - j < need[current]:
-                break
-            at = bisect_left(members, current)
-            total += at < len(members) and members[at] == current
-        if total >= need[current]:
-            found.append(current)
-
-    for i in merged:
-        if i != current:
-            settle()
-            current, count = i, 0
-        count += 1
-    settle()
-    return found
+    """Indexes of ``sets`` that overlap ``query`` as required."""
+    return Inverted(sets).search(query, percent)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -159,7 +179,8 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
         key, queries, nodes, sets = None, [], [], []
 
         def links():
-            hits = sorted({(key[0], nodes[i]) for q in queries for i in occurrence_search(q, sets, percent)}) if queries and nodes else []
+            lists = Inverted(sets) if queries and nodes else None
+            hits = sorted({(key[0], nodes[i]) for q in queries for i in lists.search(q, percent)}) if lists else []
             return pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64())], names=["a", "b"])
 
         for b, some in _rows(it, 4):

@@ -8,7 +8,8 @@ of a path (``host/a/b``, any number of them). Hosts compare without case, paths
 Every capture is looked up by its few possible patterns and joined as of its fetch time: equal pattern, and the interval
 holds the time. The most specific active pattern decides (longest; of equal ones the later effective date, then the
 greater pattern). The list is joined by the planner's own choice: broadcast only while its size is below the session's
-threshold, else by a sort-merge join whose skewed hosts adaptive execution splits.
+threshold, else by a sort-merge join whose skewed hosts adaptive execution splits. The intervals are written once in the
+shared folder.
 
 User information and port of a URL do not count; nor do query, fragment and slashes at the end of an entry. A null or
 malformed URL, a null fetch time, or no active entry gives the verdict "none". Entries with a null pattern or date are
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import materialize, read_table
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/:?#]+)"
 _PATH = r"^[^:/?#]+://[^/?#]*/([^?#]*)"
@@ -72,7 +73,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame, depth: int | None =
     ``depth`` is the number of path segments that entries have at most; if not given it is looked up first."""
     depth = deepest(entries) if depth is None else depth
     keyed = captures.select("key", "url", "fetched", F.posexplode_outer(patterns_of(F.col("url"), depth)).alias("at", "pattern"))
-    spans = validity(entries)
+    # written once, so that a join of large sides starts with an exchange of each, which skew handling can split
+    spans = materialize(validity(entries), "spans")
     active = (keyed["pattern"] == spans["pattern"]) & (keyed["fetched"] >= spans["valid_from"]) & (spans["valid_to"].isNull() | (keyed["fetched"] < spans["valid_to"]))
     hit = F.when(spans["pattern"].isNotNull(), F.struct(F.length(spans["pattern"]).alias("size"), spans["valid_from"], spans["pattern"], spans["action"]))
     joined = keyed.join(spans, active, "left").select("key", "url", "fetched", "at", hit.alias("hit"))

@@ -144,6 +144,9 @@ def test_occurrence_search_equals_counts():
         q = np.unique(rng.integers(0, 40, 30).astype(np.uint64))
         want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= 70 * len(np.union1d(q, s))]
         assert ngram_join.occurrence_search(q, sets, 70) == want
+    lists = ngram_join.Inverted([*sets, sets[0][:0]])
+    assert [lists.search(s, 100)[0] for s in sets] == [min(j for j in range(12) if np.array_equal(sets[j], s)) for s in sets]
+    assert lists.search(sets[0][:0], 70) == [] and ngram_join.Inverted([]).search(sets[0], 70) == []
 
 
 def test_components(spark):
