@@ -218,15 +218,17 @@ def _groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     # lists with more than one member; the others link nothing
     shared = posted.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
     lists = materialize(posted.join(shared, "token"), "lists")
-    texts = materialize(
-        text.join(lists.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node", "text"]), "texts"
-    )
+    # only texts whose doc_id has several rows need to be told apart: the others are not moved for it
+    rows = full.groupBy("doc_id").agg((F.count("*") > 1).alias("several"))
+    own = text.join(lists.select(F.col("node").alias("doc_id")).distinct().join(rows, "doc_id"), "doc_id").withColumnRenamed("doc_id", "node")
+    texts = materialize(own.filter("not several").select("node", "text").unionAll(own.filter("several").select("node", "text").dropDuplicates()), "texts")
     # the hub of a list is the member that has the fewest rarer tokens before this one: the likeliest centre of a group
     hubs = lists.groupBy("token", "band").agg(F.min(F.struct("at", "n", "node")).alias("hub"), F.count("*").alias("m")).filter("m > 1")
     hubs = hubs.select("token", "band", F.col("hub.node").alias("a"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at"))
     can = F.least(F.col("n") - F.col("at"), F.col("hub_n") - F.col("hub_at")) >= F.ceil((F.col("n") + F.col("hub_n")) * percent / (100 + percent))
     stars = lists.join(hubs, ["token", "band"]).filter((F.col("a") != F.col("node")) & can).select("a", F.col("node").alias("b")).distinct()
-    first = materialize(verify(stars, texts, k, percent), "found")
+    # pairs are written before texts are joined to them: their size, then known, decides how
+    first = materialize(verify(materialize(stars, "pairs"), texts, k, percent), "found")
     # rows of one doc_id are one document
     same_id = full.groupBy("key").agg(F.min("doc_id").alias("a")).join(full.select("key", F.col("doc_id").alias("b")).distinct(), "key").filter("a != b").select("a", "b")
     groups = connected_components(first)
@@ -243,7 +245,7 @@ def _groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     )
     # between components one link is as good as many
     place = placed.select("node", "component").distinct()
-    ends = verify(open_pairs, texts, k, percent).join(place.toDF("a", "ca"), "a").join(place.toDF("b", "cb"), "b")
+    ends = verify(materialize(open_pairs, "pairs"), texts, k, percent).join(place.toDF("a", "ca"), "a").join(place.toDF("b", "cb"), "b")
     second = materialize(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "found")
     groups = connected_components(first.unionAll(second).unionAll(same_id))
     ids = signed.select("doc_id", F.col("n").alias("n_shingles"))
