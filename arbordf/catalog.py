@@ -193,7 +193,7 @@ rows_query(
 rows_query(
     "row_text_document", "document('nation')/nation/row[n_regionkey = document('region')/region/row[r_name = 'ASIA']/r_regionkey]",
     {"n_nationkey": "n_nationkey", "size": "string-length()", "text": "normalize-space()", "region": "exsl:node-set(key('region', n_regionkey))/r_name", "own": "string(.)"},
-    """select n_nationkey, length(t)::double as size, trim(regexp_replace(t, '\s+', ' ', 'g')) as text, 'ASIA' as region, t as own from (select n_nationkey, {0} as t from nation where n_regionkey = (select r_regionkey from region where r_name = 'ASIA'))"""
+    r"""select n_nationkey, length(t)::double as size, trim(regexp_replace(t, '\s+', ' ', 'g')) as text, 'ASIA' as region, t as own from (select n_nationkey, {0} as t from nation where n_regionkey = (select r_regionkey from region where r_name = 'ASIA'))"""
     .replace("{0}", "n_nationkey::varchar || n_name || n_regionkey::varchar"),
 )
 
