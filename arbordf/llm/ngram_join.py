@@ -30,7 +30,7 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, read_table, temporary
@@ -85,24 +85,50 @@ def _required(percent: int, sizes: int) -> int:
     return -(-percent * sizes // (100 + percent))
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set, at least as many bits as tokens and a power of two; as 64-bit words. Half as many bits are the
+    two halves XORed."""
+    bits = max(64, 1 << max(len(tokens) - 1, 0).bit_length())
+    flips = np.bincount((tokens & np.uint64(bits - 1)).view(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def signatures(docs: DataFrame, k: int, percent: int, late: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), key (digest of the set, null if empty) and the set's first tokens in the fixed order."""
+    """doc_id, n (set size), key (digest of the set, null if empty), the set's first tokens in the fixed order, its sketch."""
     sent = docs.sparkSession.sparkContext.broadcast(late)
 
     def sign(it):
         late = sent.value
         for b, some in _rows(it):
-            n, keys, firsts = [], [], []
+            n, keys, firsts, sketches = [], [], [], []
             for s in shingle_sets(some, k):
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                sketches.append(sketch(s))
                 if len(late):
                     is_late = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
                     s = np.concatenate([s[~is_late], s[is_late]])
                 firsts.append(s[: len(s) + (percent * len(s)) // -100 + 1 if len(s) else 0].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "n", "key", "first"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n", "key", "first", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, key binary, first array<long>, sketch array<long>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, key binary, first array<long>")
+def _folded(words: Column, size: Column) -> Column:
+    """A sketch brought down to ``size`` words."""
+    bit = lambda i: F.aggregate(F.sequence(i, F.size(words) - 1, size), F.lit(0).cast("long"), lambda acc, j: acc.bitwiseXOR(F.get(words, j)))
+    return F.when(F.size(words) == size, words).otherwise(F.transform(F.sequence(F.lit(0), size - 1), bit))
+
+
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sketches allow a link; ``classes`` has (node, n, sketch), several rows for a node of several sets."""
+    ends = [classes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch")) for x in ("a", "b")]
+    both = pairs.join(ends[0], "a").join(ends[1], "b")
+    size = F.least(F.size("a_sketch"), F.size("b_sketch"))
+    unlike = F.aggregate(F.zip_with(_folded(F.col("a_sketch"), size), _folded(F.col("b_sketch"), size), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
+    sizes = F.col("a_n") + F.col("b_n")
+    overlap = F.ceil(sizes * percent / (100 + percent))
+    return both.filter((overlap <= F.least("a_n", "b_n")) & (unlike <= sizes - 2 * overlap)).select("a", "b").distinct()
 
 
 class Inverted:
@@ -164,16 +190,19 @@ def occurrence_search(query: np.ndarray, sets: list[np.ndarray], percent: int) -
     return Inverted(sets).search(query, percent)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that are linked. ``texts`` has (node, text); a's candidates are searched ``CANDIDATES`` at a time."""
+def verify(pairs: DataFrame, text: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that are linked; a's candidates are searched ``CANDIDATES`` at a time.
+
+    ``text`` has (doc_id, text), ``rows`` tells of a doc_id whether it has several rows: only those are moved to drop
+    repeats. What is wanted of the texts is written first: its size, then known, decides how texts are joined to it.
+    """
     spread = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / CANDIDATES).cast("int").alias("parts"))
-    dealt = pairs.join(spread, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    queries = spread.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    rows = (
-        queries.join(texts, F.col("a") == F.col("node")).select("a", "part", F.lit(0).alias("role"), "node", "text")
-        .unionAll(dealt.join(texts, F.col("b") == F.col("node")).select("a", "part", F.lit(1).alias("role"), "node", "text"))
-        .repartition("a", "part").sortWithinPartitions("a", "part", "role", "node")
-    )
+    queries = spread.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("doc_id"))
+    dealt = pairs.join(spread, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("doc_id"))
+    wanted = materialize(queries.unionAll(dealt).join(rows, "doc_id"), "wanted")
+    own = text.join(wanted, "doc_id").select("a", "part", "role", F.col("doc_id").alias("node"), "text", "several")
+    found = own.filter("not several").drop("several").unionAll(own.filter("several").drop("several").dropDuplicates())
+    found = found.repartition("a", "part").sortWithinPartitions("a", "part", "role", "node")
 
     def search(it):
         key, queries, nodes, sets = None, [], [], []
@@ -198,7 +227,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
         if nodes:
             yield links()
 
-    return rows.mapInArrow(search, "a long, b long")
+    return found.mapInArrow(search, "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -211,24 +240,21 @@ def _groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     signed = materialize(signatures(text, k, percent, late_tokens(text, k)), "signatures")
     full = signed.filter("key is not null and doc_id is not null")
-    classes = full.groupBy("key").agg(F.min(F.struct("doc_id", "n", "first")).alias("c")).select("key", F.col("c.doc_id").alias("node"), F.col("c.n").alias("n"), F.col("c.first").alias("first"))
+    classes = full.groupBy("key").agg(F.min(F.struct("doc_id", "n", "first", "sketch")).alias("c")).select(F.col("c.doc_id").alias("node"), "c.n", "c.first", "c.sketch")
+    classes = materialize(classes, "classes")
     posted = classes.select("node", "n", F.posexplode("first").alias("at", "token"))
     band = F.floor(F.log("n") / -np.log(percent / 100)).alias("band")
     posted = posted.select("token", "node", "n", "at", band)
     # lists with more than one member; the others link nothing
     shared = posted.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
     lists = materialize(posted.join(shared, "token"), "lists")
-    # only texts whose doc_id has several rows need to be told apart: the others are not moved for it
     rows = full.groupBy("doc_id").agg((F.count("*") > 1).alias("several"))
-    own = text.join(lists.select(F.col("node").alias("doc_id")).distinct().join(rows, "doc_id"), "doc_id").withColumnRenamed("doc_id", "node")
-    texts = materialize(own.filter("not several").select("node", "text").unionAll(own.filter("several").select("node", "text").dropDuplicates()), "texts")
     # the hub of a list is the member that has the fewest rarer tokens before this one: the likeliest centre of a group
     hubs = lists.groupBy("token", "band").agg(F.min(F.struct("at", "n", "node")).alias("hub"), F.count("*").alias("m")).filter("m > 1")
     hubs = hubs.select("token", "band", F.col("hub.node").alias("a"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at"))
     can = F.least(F.col("n") - F.col("at"), F.col("hub_n") - F.col("hub_at")) >= F.ceil((F.col("n") + F.col("hub_n")) * percent / (100 + percent))
     stars = lists.join(hubs, ["token", "band"]).filter((F.col("a") != F.col("node")) & can).select("a", F.col("node").alias("b")).distinct()
-    # pairs are written before texts are joined to them: their size, then known, decides how
-    first = materialize(verify(materialize(stars, "pairs"), texts, k, percent), "found")
+    first = materialize(verify(materialize(possible(stars, classes, percent), "pairs"), text, rows, k, percent), "found")
     # rows of one doc_id are one document
     same_id = full.groupBy("key").agg(F.min("doc_id").alias("a")).join(full.select("key", F.col("doc_id").alias("b")).distinct(), "key").filter("a != b").select("a", "b")
     groups = connected_components(first)
@@ -245,7 +271,7 @@ def _groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     )
     # between components one link is as good as many
     place = placed.select("node", "component").distinct()
-    ends = verify(materialize(open_pairs, "pairs"), texts, k, percent).join(place.toDF("a", "ca"), "a").join(place.toDF("b", "cb"), "b")
+    ends = verify(materialize(possible(open_pairs, classes, percent), "pairs"), text, rows, k, percent).join(place.toDF("a", "ca"), "a").join(place.toDF("b", "cb"), "b")
     second = materialize(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "found")
     groups = connected_components(first.unionAll(second).unionAll(same_id))
     ids = signed.select("doc_id", F.col("n").alias("n_shingles"))

@@ -149,6 +149,24 @@ def test_occurrence_search_equals_counts():
     assert lists.search(sets[0][:0], 70) == [] and ngram_join.Inverted([]).search(sets[0], 70) == []
 
 
+def test_sketches_lose_no_link(spark):
+    """Linked pairs always stay, whatever their sketch sizes; most pairs that are not linked go."""
+    rng, percent = np.random.default_rng(8), 80
+    sets = []
+    for n in [1, 2, 3, 60, 64, 65, 70, 128, 140, 500, 1020, 1030, 3000] * 2:
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for keep in (1.0, 0.97, 0.9, 0.85, 0.6):
+            kept = base[rng.random(n) < keep]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(0, 2**64, int(n * rng.random() * (1 - keep)), dtype=np.uint64)])))
+    sets = [s for s in sets if len(s)]
+    classes = spark.createDataFrame([(i, len(s), ngram_join.sketch(s).tolist()) for i, s in enumerate(sets)], "node long, n long, sketch array<long>")
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a)]
+    linked = {(a, b) for a, b in pairs if 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))}
+    left = {tuple(r) for r in ngram_join.possible(spark.createDataFrame(pairs, "a long, b long"), classes, percent).collect()}
+    assert linked and len({len(ngram_join.sketch(sets[a])) == len(ngram_join.sketch(sets[b])) for a, b in linked}) == 2
+    assert linked <= left and len(left) < 3 * len(linked)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(5, 3), (3, 9), (9, 5), (7, 7), (200, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
