@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import materialize, read_table
 from .segments import library_encoder
 
+#: Bytes encoded at once (a longer text makes a block of its own). Bounds a worker's memory, never changes a result.
+BLOCK_CHARS = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, rank long"
 
 
@@ -110,7 +112,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int = 1) ->
         end = np.uint32(end_id).astype("<u4").tobytes()
         for b in it:
             doc_ids, texts = b.column(0).to_pylist(), b.column(1)
-            for first, ids, bounds in encoder.blocks(texts):
+            for first, ids, bounds in encoder.blocks(texts, BLOCK_CHARS):
                 raw, rows = ids.astype("<u4").tobytes(), []
                 for i in range(len(bounds) - 1):
                     own = raw[4 * bounds[i] : 4 * bounds[i + 1]] + end

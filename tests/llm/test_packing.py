@@ -1,7 +1,14 @@
 import random
+import zlib
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
+
+from arbordf.llm import packing
 from arbordf.llm.packing import RoomTree, best_fit_decreasing
+from arbordf.llm.segments import PartEncoder
 
 
 def place(runs):
@@ -52,3 +59,29 @@ def test_tightest_room():
     assert [t.tightest(n) for n in (1, 3, 4, 8, 10)] == [3, 3, 7, 10, 10]
     t.set(7, False)
     assert t.tightest(4) == 10
+
+
+def test_few_bytes_are_encoded_at_once(spark, monkeypatch):
+    """What a worker holds while it cuts is bounded: 1 MB of texts at once, whatever the batch holds."""
+    texts, sizes = [f"{i} " * 30_000 for i in range(10, 60)], []
+
+    def split(some):
+        sizes.append(sum(map(len, some)))
+        parts = [t.split() for t in some]
+        return pa.array([w for p in parts for w in p], pa.large_string()), np.cumsum([0, *map(len, parts)])
+
+    encoder = PartEncoder(split, lambda parts: [np.array([int(p)], "<u4").tobytes() for p in parts])
+    monkeypatch.setattr(packing, "library_encoder", lambda path: encoder)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    docs = spark.createDataFrame([(0, "")], "doc_id long, text string")
+    ran = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: ran.append(f))
+    packing.cut_pieces(docs, "", 2048)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got = [r for b in ran[0](iter([batch])) for r in b.to_pylist()]
+    assert sum(sizes) == sum(map(len, texts)) and max(sizes) <= 1 << 20
+    want = []
+    for d, t in enumerate(texts):
+        ids = np.array([*map(int, t.split()), 1], "<u4")
+        want += [(d, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes()), len(ids)) for at in range(0, len(ids), 2048)]
+    assert [(r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got] == want
