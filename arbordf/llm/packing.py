@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 from .common import materialize, read_table
 from .segments import library_encoder
 
-#: Bytes encoded at once (a longer text makes a block of its own). Bounds a worker's memory, never changes a result.
-BLOCK_CHARS = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, rank long"
 
 
@@ -102,8 +100,11 @@ def best_fit_decreasing(counts: dict[int, int], window: int) -> list[tuple[int,
     return runs
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int = 1) -> DataFrame:
-    """Tokenise (doc_id, text) and cut each document into full windows and a remainder; ranks count per task and length."""
+def cut_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int = 1, block_chars: int | None = None) -> DataFrame:
+    """Tokenise (doc_id, text) and cut each document into full windows and a remainder; ranks count per task and length.
+
+    ``block_chars`` bytes are encoded at once (default: the encoder's own bound; a longer text makes a block of its own):
+    fewer need less of a worker's memory and more time, the pieces are the same."""
 
     def cut(it):
         from pyspark import TaskContext
@@ -112,7 +113,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int = 1) ->
         end = np.uint32(end_id).astype("<u4").tobytes()
         for b in it:
             doc_ids, texts = b.column(0).to_pylist(), b.column(1)
-            for first, ids, bounds in encoder.blocks(texts, BLOCK_CHARS):
+            for first, ids, bounds in encoder.blocks(texts, block_chars):
                 raw, rows = ids.astype("<u4").tobytes(), []
                 for i in range(len(bounds) - 1):
                     own = raw[4 * bounds[i] : 4 * bounds[i + 1]] + end
@@ -164,9 +165,9 @@ def _spans(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return values, first, np.append(first[1:], len(sorted_values))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, block_chars: int | None = None) -> DataFrame:
     """Pieces of all documents with their sequence_id and offset. The cut pieces are written once (a few numbers each)."""
-    return pack_pieces(materialize(cut_pieces(docs, tokenizer, window, end_id), "pieces"), window)
+    return pack_pieces(materialize(cut_pieces(docs, tokenizer, window, end_id, block_chars), "pieces"), window)
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from arbordf.llm import packing
 from arbordf.llm.packing import RoomTree, best_fit_decreasing
@@ -62,7 +63,9 @@ def test_tightest_room():
 
 
 def test_few_bytes_are_encoded_at_once(spark, monkeypatch):
-    """What a worker holds while it cuts is bounded: 1 MB of texts at once, whatever the batch holds."""
+    """What a worker of the pipeline holds while it cuts is bounded: 1 MB of texts at once, whatever the batch holds."""
+    pytest.importorskip("public_tokenizers")
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
     texts, sizes = [f"{i} " * 30_000 for i in range(10, 60)], []
 
     def split(some):
@@ -76,7 +79,9 @@ def test_few_bytes_are_encoded_at_once(spark, monkeypatch):
     docs = spark.createDataFrame([(0, "")], "doc_id long, text string")
     ran = []
     monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: ran.append(f))
-    packing.cut_pieces(docs, "", 2048)
+    monkeypatch.setattr(packing, "materialize", lambda df, tag: df)
+    monkeypatch.setattr(packing, "pack_pieces", lambda pieces, window: pieces)
+    corpus_pipeline.pack(spark, docs, "")
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
     got = [r for b in ran[0](iter([batch])) for r in b.to_pylist()]
     assert sum(sizes) == sum(map(len, texts)) and max(sizes) <= 1 << 20
