@@ -5,12 +5,13 @@ gives the ids of the whole text, and the parts (words, mostly) repeat so often t
 
 * Byte-level pattern ``... ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``: no match holds a non-space
   followed by white space, so a cut before a single blank, or on either side of a single newline between two
-  non-spaces, is safe. Of a run ``w`` of two or more white-space characters the pattern takes ``w[:-1]`` as one match
+  non-spaces, is safe, as is one between a letter or digit and an ASCII mark. Of a run ``w`` of two or more white-space characters the pattern takes ``w[:-1]`` as one match
   when text follows, and all of ``w`` at the end of the text.
-* Word pattern with white space removed: no match holds white space, so every blank or newline is a safe cut.
+* Word pattern with white space removed: no match holds white space, so every blank or newline is a safe cut, and so is
+  one between a letter or digit and an ASCII mark.
 
-Splitting and finding distinct parts is done by Arrow kernels over a block of texts, looking parts up and gathering
-their ids by numpy; Python touches each distinct part of a block once.
+Splitting and gathering ids is done by numpy over the bytes of a block of texts, finding distinct parts by Arrow; Python
+touches each distinct part of a block once.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, compress, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from .common import text_runs
 
@@ -32,7 +34,14 @@ _COMBINING = re.compile("[\u0300-\u036f]")
 MEMO_PARTS = 700_000
 #: Bytes encoded at once (a longer text makes a block of its own). Bounds memory, never changes a result.
 BLOCK_CHARS = 4 << 20
-_CUT = "\x1f"
+#: Classes of bytes in UTF-8: ASCII white space, letters and digits, and marks; lead bytes of U+0100 to U+017F and U+0400 to
+#: U+047F (letters all), and of characters among which is white space.
+_SPACE, _LETTER, _MARK, _LEAD, _WIDE = np.zeros((5, 256), dtype=bool)
+_SPACE[[*range(9, 14), 32]] = True
+_LETTER[[b for b in range(128) if chr(b).isalnum()]] = True
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+_LEAD[[0xC4, 0xC5, 0xD0, 0xD1]] = True
+_WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def pack(ids: Iterable[int]) -> bytes:
@@ -66,35 +75,76 @@ def _single(text: str) -> list[str]:
     return [x for x in out if x]
 
 
+def _places(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts in one array, and the place where each text begins (one more entry at the end)."""
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])
+
+
+def _cut_marks(data: np.ndarray, cut: np.ndarray) -> None:
+    """Cut between a letter or digit and the ASCII mark after it: no match holds the two in a row."""
+    marks = np.flatnonzero(_MARK[data])
+    marks = marks[marks > 1]
+    last, lead = data[marks - 1], data[marks - 2]
+    # without U+00D7 and U+00F7, which are no letters, and U+0130, whose small form ends in a combining mark
+    letter = (_LEAD[lead] & ((lead != 0xC4) | (last != 0xB0))) | ((lead == 0xC3) & (last != 0x97) & (last != 0xB7))
+    cut[marks[_LETTER[last] | ((last >= 0x80) & letter)]] = True
+
+
+def _parts(data: np.ndarray, starts: np.ndarray, cut: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The bytes between cuts as strings, without a copy, and the place where each text's parts begin."""
+    cut[starts] = True
+    offsets = np.flatnonzero(cut)
+    parts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
+    return parts, np.searchsorted(offsets, starts)
+
+
+def _with_wide_runs(texts: list[str], data: np.ndarray, starts: np.ndarray) -> list[int]:
+    """Texts that hold white space beyond ASCII and white space in a row."""
+    at = np.flatnonzero(_WIDE[data])
+    lead, second = data[at], data[at + 1]
+    wide = ((lead == 0xC2) & ((second == 0x85) | (second == 0xA0))) | ((lead == 0xE1) & (second == 0x9A)) | ((lead == 0xE2) & (second <= 0x81)) | ((lead == 0xE3) & (second == 0x80))
+    return [i for i in np.unique(np.searchsorted(starts, at[wide], side="right") - 1).tolist() if _RUN.search(texts[i])]
+
+
 def split_byte_level(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     """Parts of all texts, and the place where each text's parts begin (one more entry at the end)."""
-    lists = {i: byte_level_parts(t) for i, t in enumerate(texts) if _CUT in t or _RUN.search(t)}
-    marked = ["" if i in lists else t.replace(" ", _CUT + " ").replace("\n", f"{_CUT}\n{_CUT}") for i, t in enumerate(texts)]
-    # no match holds a letter followed by a mark, so that is a safe cut too
-    marked = pc.replace_substring_regex(pa.array(marked, pa.large_string()), "([A-Za-z])([.,!])", rf"\1{_CUT}\2")
-    parts = pc.split_pattern(marked, _CUT)
+    data, starts = _places([t.encode() for t in texts])
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    _cut_marks(data, cut)
+    at = np.flatnonzero(_SPACE[data])
+    newline = data[at] == 10
+    begins = np.zeros(len(data) + 1, dtype=bool)
+    begins[starts] = True
+    ends = begins[at + 1]
+    joined = (np.diff(at, append=-1) == 1) & ~ends  # to the next white space
+    follows = np.concatenate([[False], joined])[:-1]
+    # a blank or newline on its own, the first of a run, and the last of a run that does not end the text
+    cut[at[np.where(follows, ~joined & ~ends, joined | newline | (data[at] == 32))]] = True
+    cut[at[newline & ~joined] + 1] = True
+    parts, bounds = _parts(data, starts, cut)
+    lists = {i: byte_level_parts(texts[i]) for i in _with_wide_runs(texts, data, starts)}
     if not lists:
-        return parts.values, parts.offsets.to_numpy()
-    bounds = parts.offsets.to_numpy()
+        return parts, bounds
     chunks, sizes, last = [], np.diff(bounds), 0
     for i, own in lists.items():
-        chunks += [parts.values.slice(bounds[last], bounds[i] - bounds[last]), pa.array(own, pa.large_string())]
+        chunks += [parts.slice(bounds[last], bounds[i] - bounds[last]), pa.array(own, pa.large_string())]
         sizes[i], last = len(own), i + 1
-    chunks.append(parts.values.slice(bounds[last]))
-    return pa.concat_arrays([c.cast(pa.large_string()) for c in chunks]), np.concatenate([[0], np.cumsum(sizes)])
+    chunks.append(parts.slice(bounds[last]))
+    return pa.concat_arrays(chunks), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
-    """Words between blanks and newlines (some empty) of all texts, and where each text's words begin.
+    """Words of all texts, each with the blank or newline before it (as a blank), and where each text's words begin.
 
     For a vocabulary that composes characters, then puts them in lower case. ASCII letters may be put in lower case
     first unless a combining mark follows somewhere: the composed form of a capital need not have a small twin.
     """
-    plain = [t.replace("\n", " ") for t in texts]
-    plain = [t if _COMBINING.search(t) else t.encode().lower().decode() for t in plain]
-    marked = pc.replace_substring_regex(pa.array(plain, pa.large_string()), "([A-Za-z])([.,!])", r"\1 \2")
-    parts = pc.split_pattern(marked, " ")
-    return parts.values, parts.offsets.to_numpy()
+    raw = [x if (b"\xcc" in x or b"\xcd" in x) and _COMBINING.search(t) else x.lower() for t, x in zip(texts, (t.encode() for t in texts))]
+    data, starts = _places([x.replace(b"\n", b" ") for x in raw])
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    cut[:-1] = data == 32
+    _cut_marks(data, cut)
+    return _parts(data, starts, cut)
 
 
 def gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -150,13 +200,14 @@ class PartEncoder:
     def _encode_parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts, bounds = self.split(texts)
         coded = parts.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        missing = [p for p in distinct if p not in self.index]
-        if missing and len(self.index) + len(missing) > self.limit:
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(known < 0)
+        if len(new) and len(self.index) + len(new) > self.limit:
             self._reset()
-            missing = distinct
-        self._learn(missing)
-        known = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
+            new = np.arange(len(distinct))
+        known[new] = np.arange(len(self.index), len(self.index) + len(new))
+        self._learn([distinct[i] for i in new.tolist()])
         at = known[coded.indices.to_numpy()] if len(parts) else np.empty(0, np.int64)
         sizes = self.sizes[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -206,18 +257,29 @@ def library_encoder(path: str, ordinary: bool = False) -> PartEncoder:
         added = [re.escape(x["content"]) for x in settings.get("added_tokens", [])]
         whole = re.compile("|".join(added), re.IGNORECASE).search if added and not ordinary else None
         table, model = byte_alphabet(), t.model
-        table = {b: c for b, c in table.items() if chr(b) != c}
-
-        def one_match(p: str) -> bool:
-            if byte_level:
-                return p.isalpha() or (p[:1] == " " and p[1:].isalpha())
-            return p.isalpha() and p == p.lower() and (p.isascii() or is_normalized("NFC", p))
+        chars = np.array([ord(table[b]) for b in range(256)], dtype="<u4")
 
         def encode(parts: list[str]) -> list[bytes]:
-            out: list = [pack([x.id for x in model.tokenize(p.encode().decode("latin-1").translate(table))]) if one_match(p) else None for p in parts]
-            left = [i for i, x in enumerate(out) if x is None]
-            for i, e in zip(left, t.encode_batch_fast([parts[i] for i in left], add_special_tokens=False)):
-                out[i] = pack(e.ids)
+            bare = [p.removeprefix(" ") for p in parts]
+            if byte_level:
+                one_match = [p.isalpha() for p in bare]
+            else:
+                one_match = [p.isalpha() and p == p.lower() and (p.isascii() or is_normalized("NFC", p)) for p in bare]
+            # all at once to the vocabulary's characters; no part of letters holds a newline
+            own = "\n".join(compress(parts if byte_level else bare, one_match)).encode()
+            own = chars[np.frombuffer(own, np.uint8)].tobytes().decode("utf-32-le").split(table[10]) if own else []
+            tokens = list(map(model.tokenize, own))
+            ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens))).tolist()
+            ids = np.fromiter(map(attrgetter("id"), chain.from_iterable(tokens)), "<u4").tobytes()
+            whole_chain = t.encode_batch_fast([p for p, one in zip(parts, one_match) if not one], add_special_tokens=False)
+            at, rest = zip([0, *ends], ends), iter(whole_chain)
+            out = []
+            for one in one_match:
+                if one:
+                    a, z = next(at)
+                    out.append(ids[4 * a : 4 * z])
+                else:
+                    out.append(pack(next(rest).ids))
             return out
 
         _LOADED[path, ordinary] = PartEncoder(split_byte_level if byte_level else split_words, encode, whole=whole)

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, read_table
+from .common import fresh_path, materialize, read_table
 from .segments import library_encoder
 
 CHUNK_IDS = 1 << 16
@@ -182,10 +182,10 @@ def _join_pieces(it):
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Per document of a store: doc_id, start, n_tokens, ids_crc32, taken from the decoded chunks.
 
-    Chunks are decoded independently; only pieces of documents that cross a chunk border meet in a shuffle.
+    Chunks are decoded independently and once, as the pieces (a few numbers each) are written; only pieces of documents that
+    cross a chunk border meet in a shuffle.
     """
-    pieces = open_chunks(spark, path).mapInArrow(_read_pieces, _PIECES)
-
+    pieces = materialize(open_chunks(spark, path).mapInArrow(_read_pieces, _PIECES), "token-pieces")
     whole = pieces.filter("whole").select("shard", "doc_id", F.col("at").alias("local"), F.col("size").cast("long").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     cut = (
         pieces.filter("not whole").groupBy("shard", "ord", "doc_id")

@@ -65,6 +65,21 @@ def test_token_store(spark, special_docs, tmp_path, chunk):
     assert (token_planes.read_ids(spark, f"file://{tmp_path}/s", 100, 50) == every[100:150]).all()
 
 
+def test_chunks_are_decoded_once(spark, special_docs, tmp_path, monkeypatch):
+    read, seen = token_planes._read_pieces, tmp_path / "seen"
+
+    def counting(it):
+        for b in it:
+            with open(seen, "a") as f:
+                f.write("x" * len(b))
+            yield from read(iter([b]))
+
+    token_planes.write_store(special_docs, f"file://{tmp_path}/s", public_tokenizers.path("word_bpe_49k.json"), chunk_ids=4096)
+    monkeypatch.setattr(token_planes, "_read_pieces", counting)
+    assert token_planes.read_documents(spark, f"file://{tmp_path}/s").count() == special_docs.count()
+    assert len(seen.read_text()) == token_planes.open_chunks(spark, f"file://{tmp_path}/s").count() > 4
+
+
 def test_packed_pieces_equal_library(special_docs):
     rows = packing.pack_documents(special_docs, public_tokenizers.path("byte_bpe_50k.json"), 256).collect()
     want = Counter()
