@@ -21,6 +21,16 @@ def test_words_are_cut_off_their_marks():
     assert got == [[], ["Été", ",", " l", "'été", ".", " été", "***"], ["ж", ".", " Ж", ";"], ["x"], ["İ."]]
 
 
+def test_runs_of_ascii_white_space_are_cut_with_all_texts(monkeypatch):
+    """Only texts with white space beyond ASCII in a row are cut one by one."""
+    texts = ["Été, l'été.\nfin***", "", " a  b\n\n c\td \n", "\n", "  ", "a\x1fb"]
+    want = [["Été", ",", " l", "'été", ".", "\n", "fin", "***"], [], [" a", " ", " b", "\n\n", " c\td", " \n"], ["\n"], ["  "], ["a\x1fb"]]
+    with monkeypatch.context() as m:
+        m.setattr(segments, "byte_level_parts", None)
+        assert parts(segments.split_byte_level, texts) == want
+    assert parts(segments.split_byte_level, [*texts, "a\u3000\u2003b", "c"]) == [*want, ["a", "\u3000", "\u2003b"], ["c"]]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 @pytest.mark.parametrize("ordinary", [False, True])
 def test_ids_equal_library(name, ordinary):
