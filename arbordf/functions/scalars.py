@@ -184,7 +184,7 @@ REGISTRY: dict[str, Callable[..., Value]] = {
     "local-name": lambda s: string(F.substring_index(s.string, ":", -1)),
     "ltr:url_encode": url_encode,
     "ltr:md5_hex": lambda *a: string(F.md5(F.concat(*(x.string for x in a)))),
-    "ltr:encode_base64": lambda x: string(F.base64(F.encode(x.string, "utf-8"))),
+    "ltr:encode_base64": lambda x: string(F.replace(F.base64(F.encode(x.string, "utf-8")), F.lit("\r\n"), F.lit(""))),  # Spark breaks lines at 76 characters
     "ltr:baner_code": lambda *a: string(F.lit(None).cast("string")),
     "ltr:existsOnHost": lambda *a: num(F.lit(1.0)),
     "ltr:thread-id": lambda: num(F.spark_partition_id().cast("double")),

@@ -1,5 +1,7 @@
 """Row paths and engine functions against plain versions; plans that must stay distributed."""
 
+import base64
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +143,10 @@ def test_streams(spark, tmp_path):
     q = each_batch(transform_stream(stream, sheet, "id", "xml"), lambda df: df.filter("result is not null"), f"{tmp_path}/out", f"{tmp_path}/check", once=True)
     q.awaitTermination(120)
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("id", "result").collect()] == [("1", "<o>x</o>")]
+
+
+def test_base64_is_one_line(spark):
+    values = ["", "a", "x" * 57, "x" * 58, "\u00e9" * 500]
+    t = spark.createDataFrame(list(enumerate(values)), "k long, u string")
+    got = RowDocuments({"t": t}, {"t": ["k"]}).select("/t/row", {"k": "k", "b": "ltr:encode_base64(u)"}).collect()
+    assert {r["k"]: r["b"] for r in got} == {i: base64.b64encode(v.encode()).decode() for i, v in enumerate(values)}
