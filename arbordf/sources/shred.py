@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +36,13 @@ def tree_rows(doc_id: str, root: Node) -> list[tuple]:
     return out
 
 
-def shred(docs: DataFrame, key: str, text: str, kind: str = "xml", on_error: str = "raise") -> DataFrame:
+def shred(docs: DataFrame, key: str, text: str, kind: str = "xml", on_error: str = "raise", entities: Collection[str] | None = None) -> DataFrame:
     """Node rows of every document. One task parses many documents; a document stays whole in one task.
 
     Null texts have no rows. ``on_error="skip"`` leaves documents out that are not well-formed.
+    ``entities``: see ``parse_html``.
     """
-    parse: Callable[[str], Node] = parse_html if kind == "html" else parse_xml
+    parse: Callable[[str], Node] = partial(parse_html, entities=entities) if kind == "html" else parse_xml
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(NODE_SCHEMA)

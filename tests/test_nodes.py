@@ -59,6 +59,16 @@ def test_builder_and_html(spark):
     assert [r[7] for r in rows if r[6] == "element"] == ["p", "br", "script", "p"]
 
 
+def test_references_end_in_a_semicolon():
+    page = '<p a="x&amp;y&copy=2&quot;">a&amp;&amp<b>&am&#65;&#66 &copy;&nope;\ue000</b><script>"&amp;&lt"</script></p>'
+
+    def texts(root):
+        return [n.value for n in root.walk() if n.kind in ("text", "attribute")]
+
+    assert texts(parse_html(page)) == ['x&y&copy=2"', "a&&amp", "&amA&#66 \u00a9&nope;\ue000", '"&amp;&lt"']
+    assert texts(parse_html(page, ("lt", "gt", "amp"))) == ["x&y&copy=2&quot;", "a&&amp", "&am&#65;&#66 &copy;&nope;\ue000", '"&amp;&lt"']
+
+
 def test_empty_document_is_an_error():
     with pytest.raises(ValueError):
         parse_xml(" ")
