@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -180,10 +180,18 @@ class Engine:
         revision = _looked_up({k: (v,) for k, v in self.revisions.items()}, url, F.lit(0))
         return F.concat(F.lit("/static/"), url, F.coalesce(F.concat(F.lit("?"), revision), F.lit("")))
 
-    def with_revisions(self, rows: DataFrame, url: str, revisions: DataFrame, out: str) -> DataFrame:
-        """The same for a table of revisions (url, revision) of any size: a left join."""
-        r = revisions.select(F.col("url").alias("_url"), F.col("revision").alias("_revision"))
-        return rows.join(r, F.col(url) == F.col("_url"), "left").withColumn(out, F.concat(F.lit("/static/"), F.col(url), F.coalesce(F.concat(F.lit("?"), "_revision"), F.lit("")))).drop("_url", "_revision")
+    def with_revisions(self, rows: DataFrame, url: str, revisions: DataFrame, out: str, same: Sequence[str] = ()) -> DataFrame:
+        """The same for a table of revisions (url, revision) of any size: a left join, one row for each of ``rows``.
+
+        A revision holds for rows that also agree in the columns ``same``; of several for one url the greatest is taken, a
+        null one is none.
+        """
+        keys = ["url", *same]
+        r = revisions.filter("revision is not null").groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.max("revision").alias("_revision"))
+        on = F.col(url) == F.col("_url")
+        for k in same:
+            on = on & (F.col(k) == F.col(f"_{k}"))
+        return rows.join(r, on, "left").withColumn(out, F.concat(F.lit("/static/"), F.col(url), F.coalesce(F.concat(F.lit("?"), "_revision"), F.lit("")))).drop("_revision", *(f"_{k}" for k in keys))
 
     def define_rights(self, library: str, group: str, actions: list[str]) -> None:
         self.rights += [(library, group, a) for a in actions]

@@ -150,3 +150,14 @@ def test_base64_is_one_line(spark):
     t = spark.createDataFrame(list(enumerate(values)), "k long, u string")
     got = RowDocuments({"t": t}, {"t": ["k"]}).select("/t/row", {"k": "k", "b": "ltr:encode_base64(u)"}).collect()
     assert {r["k"]: r["b"] for r in got} == {i: base64.b64encode(v.encode()).decode() for i, v in enumerate(values)}
+
+
+def test_revisions_of_shared_urls_repeat_no_row(spark):
+    rows = spark.createDataFrame([(1, "a"), (3, "a"), (6, "a"), (6, "a"), (7, "b"), (None, "a"), (9, None)], "k long, u string")
+    revisions = spark.createDataFrame([("a", 3, "r3"), ("a", 6, "r6"), ("a", 6, "r6"), ("b", 7, None), (None, 9, "r9")], "url string, k long, revision string")
+
+    def got(same):
+        return sorted((r["k"] or 0, r["s"] or "") for r in Engine(spark).with_revisions(rows, "u", revisions, "s", same).select("k", "s").collect())
+
+    assert got(["k"]) == [(0, "/static/a"), (1, "/static/a"), (3, "/static/a?r3"), (6, "/static/a?r6"), (6, "/static/a?r6"), (7, "/static/b"), (9, "")]
+    assert got([]) == [(0, "/static/a?r6"), (1, "/static/a?r6"), (3, "/static/a?r6"), (6, "/static/a?r6"), (6, "/static/a?r6"), (7, "/static/b"), (9, "")]
