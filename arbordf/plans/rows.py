@@ -120,6 +120,7 @@ class _Rows:
     outer: _Rows | None = None
     names: object = field(default_factory=itertools.count)
     whole: bool = True  # the frame still has every row of the table
+    siblings: _Siblings | None = None  # sibling columns that the frame got last
 
     def fresh(self) -> str:
         return f"_x{next(self.names)}"
@@ -279,40 +280,29 @@ class _Rows:
         full, order, name, before = self.docs.tables[self.table], self._order(), self.fresh(), step.axis in ("preceding-sibling", "preceding")
         kind = kind_of(dict(full.dtypes)[leaf])
         value = to_double(F.col(leaf)) if kind == "number" else F.col(leaf)
-        source = self.frame if self.whole else full
-        if not group:
-            spot = self.fresh()
-            source = numbered(source, order, spot)
-            window = Window.partitionBy(F.floor((F.col(spot) - 1) / ROWS)).orderBy(spot)
-        else:
-            window = Window.partitionBy(*group).orderBy(*order)
-        reach = window.rowsBetween(Window.unboundedPreceding, -1) if before else window.rowsBetween(1, Window.unboundedFollowing)
-        if how == "value":
-            if group:
-                nearest = (F.lag if before else F.lead)(value, place or 1).over(window)
-                first = F.first(value).over(reach)
-                source = source.withColumn(name, nearest if place or not before else first)
+        if self.siblings is None or self.siblings.joined is not self.frame:  # what was added just before shares table and join
+            self.siblings = _Siblings(self.frame, self.frame if self.whole else full, order)
+        s = self.siblings
+        if group:
+            forward = Window.partitionBy(*group).orderBy(*order)
+            if how == "value":
+                nearest = (F.lag if before else F.lead)(value, place or 1).over(forward)
+                s.wide = s.wide.withColumn(name, nearest if place or not before else F.first(value).over(side(group, order, before)))
             else:
-                away = float(place or 1) if place or not before else None
-                if away is None:
-                    raise UnsupportedPath("of all rows before, name one by its place")
-                other = source.select((F.col(spot) + (away if before else -away)).alias("_spot"), value.alias(name))
-                source = source.join(other, F.col(spot) == F.col("_spot"), "left").drop("_spot")
+                total = (F.count(F.col(leaf)) if how == "count" else F.sum(value)).over(side(group, order, before))
+                s.wide = s.wide.withColumn(name, F.coalesce(total.cast("double"), F.lit(0.0)))
+        elif how == "value":
+            if not place and before:
+                raise UnsupportedPath("of all rows before, name one by its place")
+            s.near(name, value, place or 1, before)
         else:
-            total = (F.count(F.col(leaf)) if how == "count" else F.sum(value)).over(reach)
-            if group:
-                source = source.withColumn(name, F.coalesce(total.cast("double"), F.lit(0.0)))
-            else:  # within blocks of a fixed number of rows, then the totals of the blocks on that side
-                at = F.floor((F.col(spot) - 1) / ROWS).alias("_at")
-                sums = source.groupBy(at).agg((F.count(leaf) if how == "count" else F.sum(value)).cast("double").alias("_total"))
-                line = Window.partitionBy(F.floor(F.col("_at") / ROWS)).orderBy("_at")
-                sums = running(sums, before, line)
-                source = source.withColumn(name, F.coalesce(total.cast("double"), F.lit(0.0))).withColumn("_own", F.floor((F.col(spot) - 1) / ROWS))
-                source = source.join(sums, F.col("_own") == F.col("_at")).withColumn(name, F.col(name) + F.col("_rest")).drop("_own", "_at", "_rest")
+            s.total(name, leaf, value, how, before)
+        s.names.append(name)
         if self.whole:
-            self.frame = source
+            self.frame = s.wide
         else:
-            self.frame = self.frame.join(source.select(*order, name), order)
+            self.frame = s.start.join(s.wide.select(*order, *s.names), order)
+        s.joined = self.frame
         return num(F.col(name)) if how != "value" or kind == "number" else Value(F.col(name), kind)
 
     def last(self) -> Column:
@@ -558,6 +548,47 @@ class _Rows:
         return REGISTRY[e.name](*(self.compile(a) for a in e.args))
 
 
+def side(keys: list[str], order: list[str], before: bool):
+    """A window of the rows on one side. For the rows after, the order is turned round: a frame that is open towards the end
+    is computed anew for each row, one that is open towards the start grows."""
+    return Window.partitionBy(*keys).orderBy(*(F.col(c) if before else F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+
+
+class _Siblings:
+    """Columns of siblings over a whole table, and the frame they are joined to."""
+
+    def __init__(self, start: DataFrame, wide: DataFrame, order: list[str]):
+        self.start, self.wide, self.base, self.order, self.names, self.joined, self.placed = start, wide, wide, order, [], None, False
+
+    def place(self) -> None:
+        """Rows numbered once (``_spot``), in blocks (``_own``) of a fixed number of rows, by which windows and joins deal them.
+        What is joined to them is taken from these rows (``base``), not from rows that columns were joined to before."""
+        if not self.placed:
+            self.wide = self.base = numbered(self.wide, self.order, "_spot").withColumn("_own", F.floor((F.col("_spot") - 1) / ROWS))
+            self.placed = True
+
+    def near(self, name: str, value: Column, place: int, before: bool) -> None:
+        """The value ``place`` rows away; for the next row, from the block's window or the neighbouring block's edge."""
+        self.place()
+        if place > 1:
+            other = self.base.select((F.col("_spot") + float(place if before else -place)).alias("_at"), value.alias(name))
+            self.wide = self.wide.join(other, F.col("_spot") == F.col("_at"), "left").drop("_at")
+            return
+        edges = self.base.groupBy((F.col("_own") + (1 if before else -1)).alias("_at")).agg((F.max_by if before else F.min_by)(value, F.col("_spot")).alias("_edge"))
+        edge = F.pmod(F.col("_spot") - 1, F.lit(float(ROWS))) == float(0 if before else ROWS - 1)
+        inside = (F.lag if before else F.lead)(value, 1).over(Window.partitionBy("_own").orderBy("_spot"))
+        wide = self.wide.withColumn(name, inside).join(edges, F.col("_own") == F.col("_at"), "left")
+        self.wide = wide.withColumn(name, F.when(edge, F.col("_edge")).otherwise(F.col(name))).drop("_at", "_edge")
+
+    def total(self, name: str, leaf: str, value: Column, how: str, before: bool) -> None:
+        """``count`` or ``sum`` of one side: within the block, then the totals of the blocks on that side."""
+        self.place()
+        aggregate = F.count(F.col(leaf)) if how == "count" else F.sum(value)
+        sums = running(self.base.groupBy(F.col("_own").alias("_at")).agg(aggregate.cast("double").alias("_total")), before)
+        wide = self.wide.withColumn(name, F.coalesce(aggregate.over(side(["_own"], ["_spot"], before)).cast("double"), F.lit(0.0)))
+        self.wide = wide.join(sums, F.col("_own") == F.col("_at")).withColumn(name, F.col(name) + F.col("_rest")).drop("_at", "_rest")
+
+
 def numbered(frame: DataFrame, order: list[str], name: str) -> DataFrame:
     """Add the place (from 1, a double) of each row in the order.
 
@@ -581,14 +612,12 @@ def numbered(frame: DataFrame, order: list[str], name: str) -> DataFrame:
     return dealt.withColumn(name, (F.col("_place") + F.col("_before")).cast("double")).drop("_block", "_of", "_place", "_before")
 
 
-def running(sums: DataFrame, before: bool, line) -> DataFrame:
+def running(sums: DataFrame, before: bool) -> DataFrame:
     """(_at, _rest): totals of the blocks before (or after) each block, in two levels of windows of ``ROWS`` blocks each."""
-    reach = line.rowsBetween(Window.unboundedPreceding, -1) if before else line.rowsBetween(1, Window.unboundedFollowing)
-    high = F.floor(F.col("_at") / ROWS)
-    tops = sums.groupBy(high.alias("_top")).agg(F.sum("_total").alias("_all"))
-    order = Window.orderBy("_top")
-    tops = tops.select("_top", F.coalesce(F.sum("_all").over(order.rowsBetween(Window.unboundedPreceding, -1) if before else order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)).alias("_far"))
-    near = sums.select("_at", high.alias("_high"), F.coalesce(F.sum("_total").over(reach), F.lit(0.0)).alias("_near"))
+    sums = sums.withColumn("_high", F.floor(F.col("_at") / ROWS))
+    tops = sums.groupBy(F.col("_high").alias("_top")).agg(F.sum("_total").alias("_all"))
+    tops = tops.select("_top", F.coalesce(F.sum("_all").over(side([], ["_top"], before)), F.lit(0.0)).alias("_far"))
+    near = sums.select("_at", "_high", F.coalesce(F.sum("_total").over(side(["_high"], ["_at"], before)), F.lit(0.0)).alias("_near"))
     return near.join(tops, F.col("_high") == F.col("_top")).select("_at", (F.col("_near") + F.col("_far")).alias("_rest"))
 
 

@@ -11,6 +11,7 @@ from arbordf.functions.scalars import format_number as column_format
 from arbordf.functions.scalars import num
 from arbordf.operators.axes import axis_step
 from arbordf.plans import evaluate
+from arbordf.plans import rows as rows_module
 from arbordf.plans.ast import Test, UnsupportedPath
 from arbordf.plans.rows import RowDocuments, numbered
 from arbordf.plans.stylesheet import Stylesheet
@@ -161,3 +162,25 @@ def test_revisions_of_shared_urls_repeat_no_row(spark):
 
     assert got(["k"]) == [(0, "/static/a"), (1, "/static/a"), (3, "/static/a?r3"), (6, "/static/a?r6"), (6, "/static/a?r6"), (7, "/static/b"), (9, "")]
     assert got([]) == [(0, "/static/a?r6"), (1, "/static/a?r6"), (3, "/static/a?r6"), (6, "/static/a?r6"), (6, "/static/a?r6"), (7, "/static/b"), (9, "")]
+
+
+def test_siblings_over_blocks(spark, monkeypatch):
+    """Small blocks: every edge is met, and no frame is open towards the end (each row would read all rows after it)."""
+    monkeypatch.setattr(rows_module, "ROWS", 4)
+    data = [(i, i % 3 if i % 7 else None, float(i * i % 11) if i % 5 else None) for i in range(1, 90)]
+    docs = RowDocuments({"t": spark.createDataFrame(data, "k long, g long, v double").repartition(5)}, {"t": ["k"]})
+    columns = {
+        "k": "k", "before": "preceding-sibling::row[1]/v", "after": "following-sibling::row[1]/v", "third": "following-sibling::row[3]/v", "earlier": "count(preceding-sibling::row/v)",
+        "later": "sum(following::row/v)", "same": "sum(following-sibling::row[g = current()/g]/v)",
+    }
+    for path in ("/t/row", "/t/row[v > 4]"):
+        got = docs.select(path, columns)
+        plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "unboundedfollowing" not in plan
+        kept = [r for r in data if path == "/t/row" or (r[2] or 0) > 4]
+        value = {k: v for k, _, v in data}
+        assert [r["k"] for r in got.orderBy("k").collect()] == [k for k, _, _ in kept]
+        for r, (k, g, _) in zip(got.orderBy("k").collect(), kept):
+            assert (r["before"], r["after"], r["third"]) == (value.get(k - 1), value.get(k + 1), value.get(k + 3))
+            assert r["earlier"] == sum(v is not None for a, _, v in data if a < k) and r["later"] == sum(v or 0 for a, _, v in data if a > k)
+            assert r["same"] == sum(v or 0 for a, b, v in data if a > k and b == g)
