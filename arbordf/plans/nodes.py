@@ -24,6 +24,8 @@ from .parser import parse
 
 _FLIP = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "=": "=", "!=": "!="}
 _NODE_SETS = {"key", "exsl:node-set"}
+#: Numbers of a document that one window of neighbours spans.
+STRETCH = 1 << 16
 
 
 @dataclass
@@ -110,15 +112,22 @@ class NodeDocuments:
 
     def neighbour(self, frame: DataFrame, step: Step) -> DataFrame:
         """The nearest sibling of each context row: contexts and siblings of a parent in one line, each context takes the
-        last (or next) sibling it passes. One window per parent, no pairs."""
-        keys = ["doc_id", "parent_id"]
-        mine = frame.filter("kind != 'attribute'").select(*keys, "pre", F.lit(None).cast("long").alias("_found"), F.struct("oid", "node_id").alias("_for"))
-        other = self.nodes.filter(test_condition(step.test, step.axis) & (F.col("kind") != "attribute")).select(*keys, "pre", F.col("pre").alias("_found"), F.lit(None).cast("struct<oid:bigint,node_id:bigint>").alias("_for"))
-        line = Window.partitionBy(*keys).orderBy("pre")
+        last (or next) sibling it passes, in its stretch of ``STRETCH`` numbers or else from the nearest stretch that has one.
+        No pairs, and no window is wider than a stretch or a parent's stretches. Windows run from the step's far end, as a
+        frame that is open towards the end is computed anew for each row."""
+        keys, before = ["doc_id", "parent_id"], step.axis == "preceding-sibling"
+        stretch = F.floor(F.col("pre") / STRETCH).alias("_stretch")
+        mine = frame.filter("kind != 'attribute'").select(*keys, "pre", stretch, F.lit(None).cast("long").alias("_found"), F.struct("oid", "node_id").alias("_for"))
+        other = self.nodes.filter(test_condition(step.test, step.axis) & (F.col("kind") != "attribute")).select(*keys, "pre", stretch, F.col("pre").alias("_found"), F.lit(None).cast("struct<oid:bigint,node_id:bigint>").alias("_for"))
+        line, nearest, order = mine.unionByName(other), F.max if before else F.min, F.asc if before else F.desc
         # range frames leave out the context's own place
-        reach = line.rangeBetween(Window.unboundedPreceding, -1) if step.axis == "preceding-sibling" else line.rangeBetween(1, Window.unboundedFollowing)
-        nearest = F.max("_found") if step.axis == "preceding-sibling" else F.min("_found")
-        got = mine.unionByName(other).withColumn("_at", nearest.over(reach)).filter("_for is not null and _at is not null")
+        inside = Window.partitionBy(*keys, "_stretch").orderBy(order("pre")).rangeBetween(Window.unboundedPreceding, -1)
+        far = Window.partitionBy(*keys).orderBy(order("_stretch")).rowsBetween(Window.unboundedPreceding, -1)
+        ends = line.groupBy(*keys, "_stretch").agg(nearest("_found").alias("_end")).withColumn("_far", nearest("_end").over(far))
+        ends = ends.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_stretch").alias("_of"), "_far").filter("_far is not null")
+        got = line.withColumn("_at", nearest("_found").over(inside)).filter("_for is not null")
+        got = got.join(ends, (F.col("doc_id") == F.col("_doc_id")) & (F.col("parent_id") == F.col("_parent_id")) & (F.col("_stretch") == F.col("_of")), "left")
+        got = got.withColumn("_at", F.coalesce("_at", "_far")).filter("_at is not null")
         got = got.select(F.col("_for.oid").alias("oid"), F.col("_for.node_id").alias("c_node_id"), F.col("doc_id").alias("c_doc"), "_at")
         return got.join(self.nodes, (F.col("c_doc") == F.col("doc_id")) & (F.col("_at") == F.col("pre"))).select("oid", "c_node_id", *NODE_COLUMNS)
 

@@ -1,5 +1,6 @@
 import pytest
 
+from arbordf.plans import nodes as nodes_module
 from arbordf.plans.evaluate import Context, evaluate
 from arbordf.plans.nodes import NodeDocuments
 from arbordf.plans.parser import parse
@@ -43,6 +44,20 @@ def test_axes_partition_the_document():
         assert sorted(parts) == sorted(e.order for e in elements)
 
 
+SIBLINGS = '<a><b k="1"/><c/><b k="2"><d/><d/></b>t<b k="3"/><c/><c/><b k="4"/><e k="2" f="4"/><e k="9" f="1"/><e f="4"/><e k="4"/><b k="2"/></a>'
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 1 << 16])
+def test_neighbours_over_stretches(spark, monkeypatch, stretch):
+    """No window is open towards the end: there each row would read all rows after it."""
+    monkeypatch.setattr(nodes_module, "STRETCH", stretch)
+    d, doc = NodeDocuments(from_string(spark, SIBLINGS, "d")), parse_xml(SIBLINGS)
+    for path in ("//c/following-sibling::b[1]", "//*/preceding-sibling::c[1]", "/a/*/following-sibling::*[1]", "//b/following-sibling::e[1][@f]"):
+        got = d.find(path)
+        assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert sorted(r["pre"] for r in got.collect()) == sorted(n.order for n in evaluate(parse(path), Context(doc))), path
+
+
 def test_serialize_nodes(spark):
     text = '<a x="1&amp;2"><b>t&lt;</b><c/></a>'
     assert serialize_nodes(from_string(spark, text)).first()["xml"] == text
