@@ -7,6 +7,7 @@ per candidate. Node-sets are sets: each step ends in one row per (oid, node).
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import itertools
 import operator
@@ -104,6 +105,10 @@ class NodeDocuments:
             if step.axis.endswith("-sibling") and step.predicates[:1] == (Num(1.0),):
                 now = self.neighbour(frame, step)
                 return self.predicates(now, step.predicates[1:], proximity(step.axis)).select("oid", *NODE_COLUMNS).dropDuplicates(["oid", "doc_id", "node_id"])
+            same = current_match(step.predicates[0]) if step.axis == "child" and step.predicates else None
+            if same is not None:
+                now = self.matched(frame, step, *same)
+                return self.predicates(now, step.predicates[1:], proximity(step.axis)).select("oid", *NODE_COLUMNS)
             now = axis_step(frame, self.nodes, step.axis, step.test, any(map(positional, step.predicates)))
         now = self.predicates(now, step.predicates, proximity(step.axis))
         if step.axis in ("child", "attribute", "self"):  # a node has one parent: no duplicates arise
@@ -131,6 +136,14 @@ class NodeDocuments:
         got = got.select(F.col("_for.oid").alias("oid"), F.col("_for.node_id").alias("c_node_id"), F.col("doc_id").alias("c_doc"), "_at")
         return got.join(self.nodes, (F.col("c_doc") == F.col("doc_id")) & (F.col("_at") == F.col("pre"))).select("oid", "c_node_id", *NODE_COLUMNS)
 
+    def matched(self, frame: DataFrame, step: Step, own: str, current: str) -> DataFrame:
+        """Children whose attribute ``own`` equals the attribute ``current`` of the node the expression stands at: one
+        equi-join of (document, parent, value), so children that do not match are not paired with contexts."""
+        c, wanted = self.attribute(frame.select("oid", *NODE_COLUMNS), current, "oid")
+        c = c.filter(wanted.isNotNull()).select("oid", F.col("doc_id").alias("c_doc"), F.col("node_id").alias("c_node_id"), wanted.alias("_wanted"))
+        found, has = self.attribute(self.nodes.filter(test_condition(step.test, "child") & (F.col("kind") != "attribute")), own)
+        return c.join(found, (F.col("c_doc") == F.col("doc_id")) & (F.col("c_node_id") == F.col("parent_id")) & (F.col("_wanted") == has)).select("oid", "c_node_id", *NODE_COLUMNS)
+
     def predicates(self, frame: DataFrame, predicates: tuple, order: Column) -> DataFrame:
         keep = frame.columns
         for p in predicates:
@@ -191,6 +204,13 @@ class NodeDocuments:
     def reduced(self, frame: DataFrame, e, how) -> tuple[DataFrame, Column]:
         """One aggregate of a nested node-set per node; ``how`` gives the aggregate and whether it reads string values."""
         name = self.fresh()
+        while isinstance(e, Call) and e.name == "exsl:node-set":
+            e = e.args[0]
+        up, down = shared_start(e)
+        if up:  # contexts with one parent share what is below it: it is reduced once for each parent
+            met = self.nested(frame, up).select("oid", *NODE_COLUMNS)
+            met, value = self.reduced(met, down, how)
+            return self.back(frame, met.select("doc_id", "oid", value.alias(name)), name), F.col(name)
         got = self.nested(frame, e)
         aggregate, strings = how
         if strings:
@@ -358,6 +378,31 @@ def current_attribute(e) -> str | None:
     return None
 
 
+def current_match(p) -> tuple[str, str] | None:
+    """(own attribute, attribute of ``current()``) if the predicate says that they are equal."""
+    if isinstance(p, Bin) and p.op == "=":
+        for a, b in ((p.left, p.right), (p.right, p.left)):
+            if (own := own_attribute(a)) is not None and (current := current_attribute(b)) is not None:
+                return own, current
+    return None
+
+
+def mentions_current(e) -> bool:
+    if isinstance(e, Call) and e.name == "current":
+        return True
+    if dataclasses.is_dataclass(e):
+        return any(mentions_current(getattr(e, f.name)) for f in dataclasses.fields(e))
+    return isinstance(e, tuple) and any(map(mentions_current, e))
+
+
+def shared_start(e) -> tuple[Path | None, Path | None]:
+    """A path's parent steps, which give one node each at most, and the rest; none if the rest depends on where it started."""
+    if not isinstance(e, Path) or e.start is not None or e.predicates or mentions_current(e):
+        return None, None
+    n = next((i for i, s in enumerate(e.steps) if s.axis != "parent" or s.predicates), len(e.steps))
+    return (Path(None, e.steps[:n]), Path(None, e.steps[n:])) if 0 < n < len(e.steps) else (None, None)
+
+
 def is_node_set(e) -> bool:
     if current_attribute(e):
         return False

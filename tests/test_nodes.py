@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from arbordf.plans import nodes as nodes_module
 from arbordf.plans.evaluate import Context, evaluate
@@ -58,6 +59,20 @@ def test_neighbours_over_stretches(spark, monkeypatch, stretch):
         assert sorted(r["pre"] for r in got.collect()) == sorted(n.order for n in evaluate(parse(path), Context(doc))), path
 
 
+def test_current_and_parents_pair_nothing(spark):
+    """Siblings met through the parent: an equi-join by value, or one count for each parent, never all pairs."""
+    d = NodeDocuments(from_string(spark, SIBLINGS, "d"))
+    columns = {"k": "@k", "same": "count(../b[@k = current()/@k])", "turned": "count(../b[current()/@f = @k][2])", "all": "count(exsl:node-set(../b))", "sum": "sum(../b/@k)", "up": "count(../..)", "none": "count(../../x)"}
+    got = d.evaluate(d.find("//e"), columns)
+    assert [tuple(r)[2:] for r in got.orderBy("node_id").collect()] == [("2", 2, 0, 5, 12, 1, 0), ("9", 0, 0, 5, 12, 1, 0), (None, 0, 0, 5, 12, 1, 0), ("4", 1, 0, 5, 12, 1, 0)]
+    for path in ("count(../b[@k = current()/@k])", "count(../b)"):
+        joins = [line for line in d.evaluate(d.find("//e"), {"n": path})._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "parent_id" in line]
+        # children meet a parent by value too, or a parent that stands there once
+        assert joins and (path == "count(../b)" or any("_wanted" in line for line in joins)), joins
+    plan = d.evaluate(d.find("//e"), {"n": "count(../b)"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and d.reduced(d.find("//e"), parse("../b"), (F.count("*"), False))[0].count() == 4
+
+
 def test_serialize_nodes(spark):
     text = '<a x="1&amp;2"><b>t&lt;</b><c/></a>'
     assert serialize_nodes(from_string(spark, text)).first()["xml"] == text
