@@ -17,12 +17,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, column: str, max_rows: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, text, y) of at most ``max_rows`` labelled documents that are not held out.
 
-    Rows without a 0/1 label are ignored; of several labels for a doc_id the smallest counts. The labels side holds at
-    most ``max_rows`` rows of 12 bytes, so it is broadcast whatever the corpus holds.
+    Rows without a 0/1 label are ignored; of several labels for a doc_id the smallest counts, of several texts the first in
+    order of their hash. The labels side holds at most ``max_rows`` rows of 12 bytes, so it is broadcast whatever the corpus
+    holds.
     """
     y = F.col(column).cast("int")
     some = (
         labels.filter(~held_out() & y.isin(0, 1)).groupBy("doc_id").agg(F.min(y).alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "y")).alias("row"))  # a doc_id may have any number of rows
+    return one.select("doc_id", "row.text", "row.y")

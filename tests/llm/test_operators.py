@@ -330,3 +330,13 @@ def test_url_filter_runs_no_python(spark, tmp_path):
     spark.createDataFrame([(1, "http://a.com/x", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     plan = url_lists.op3_url_lists(spark, str(tmp_path))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_repeated_ids_do_not_pass_the_bound_of_labelled_rows(spark):
+    from arbordf.llm.labelled import training_rows
+
+    docs = spark.createDataFrame([(i, f"{i} {j % 2}" if i else None) for i in range(40) for j in range(6)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2, "doc_id long, quality int")
+    got = [tuple(r) for r in training_rows(docs, labels, "quality", 20).collect()]
+    assert len(got) == len({i for i, _, _ in got}) == 20 and all(y == i % 2 for i, _, y in got)
+    assert sorted(got) == sorted(map(tuple, training_rows(docs.repartition(3), labels, "quality", 20).collect()))
